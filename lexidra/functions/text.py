@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 # A token is a maximal run of Unicode letters and digits.
 TOKEN_PATTERN = r"[\p{L}\p{N}]+"
 
+# Every character that counts as white space in Unicode, control separators included.
+_SPACE = r"[\t-\r\x{1c}-\x{20}\x{85}\p{Z}]"
+OUTER_SPACE = f"^{_SPACE}+|{_SPACE}+$"
+
 
 def assemble_text(title: Column | None, text: Column) -> Column:
     """``title + " " + text`` without surrounding white space; missing parts count as empty."""
     head = F.lit("") if title is None else F.coalesce(title, F.lit(""))
     joined = F.concat(head, F.lit(" "), F.coalesce(text, F.lit("")))
-    return F.regexp_replace(joined, r"^\s+|\s+$", "")
+    return F.regexp_replace(joined, OUTER_SPACE, "")
 
 
 def tokens_of(text: Column | str, max_length: int | None = None) -> Column:
