@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +12,15 @@ def as_double(vec: Column | str) -> Column:
     return (F.col(vec) if isinstance(vec, str) else vec).cast("array<double>")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once per row.
+
+    A plain column that a lambda refers to may be inlined into it by the optimizer and would
+    then be computed again for every element.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
 def array_sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
@@ -33,8 +42,3 @@ def component_sums(vec: str, dim: int, weight: Column | None = None) -> list[Col
     """One partial-aggregable sum per component, named ``c0 .. c{dim-1}``."""
     factor = F.lit(1.0) if weight is None else weight
     return [F.sum(F.col(vec)[i] * factor).alias(f"c{i}") for i in range(dim)]
-
-
-def stack(series: pd.Series) -> np.ndarray:
-    """Matrix of the vectors of one Arrow batch."""
-    return np.vstack([np.asarray(v, dtype=np.float64) for v in series]) if len(series) else np.empty((0, 0))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexidra.functions.blocks import matrix, vector_column
-from lexidra.functions.vectors import array_sum, as_double
+from lexidra.functions.vectors import array_sum, as_double, let
 from lexidra.session import arrow_if_small
 
 HASH_DIM = 16
@@ -33,65 +33,79 @@ LAYER_NORM_EPS = 1e-5
 # --- token and text vectors ---------------------------------------------------------------
 
 
-def _digest_words(token: Column) -> list[Column]:
-    """The 16 bytes of ``md5(token)`` as three integers of 7, 7 and 2 bytes."""
-    digest = F.md5(token)
-    return [F.conv(F.substr(digest, F.lit(s), F.lit(n)), 16, 10).cast("bigint") for s, n in ((1, 14), (15, 14), (29, 4))]
+def _digest_lanes(token: Column) -> Column:
+    """The 16 bytes of ``md5(token)``, four to a bigint with 16 bits each: an array of four."""
+    spread = F.regexp_replace(F.md5(token), "(..)", "00$1")
+    return let(
+        spread,
+        lambda digits: F.array(
+            *[F.conv(F.substr(digits, F.lit(1 + 16 * j), F.lit(16)), 16, 10).cast("bigint") for j in range(4)]
+        ),
+    )
+
+
+def _lane(packed: list[Column], i: int) -> Column:
+    return F.shiftright(packed[i // 4], 16 * (3 - i % 4)).bitwiseAND(0xFFFF)
 
 
-def _digest_byte(words: list[Column], i: int) -> Column:
-    """Byte ``i`` of the digest, moved to -128 .. 127."""
-    word, place, size = (words[0], i, 7) if i < 7 else (words[1], i - 7, 7) if i < 14 else (words[2], i - 14, 2)
-    return F.shiftright(word, 8 * (size - 1 - place)).bitwiseAND(255) - F.lit(128)
+# Four lanes of 128: what a missing neighbour contributes, 0 after centring.
+CENTRE_LANES = 0x0080_0080_0080_0080
 
 
 def hash_token_vectors(tokenized: DataFrame) -> DataFrame:
     """Contextual token vectors ``(doc_id, dl, pos, token, vec)`` of ``(doc_id, tokens, dl)``.
 
     Each component mixes one digest byte of the token and of its neighbours up to two
-    places away, so the same token has different vectors in different places.  The
-    neighbours are picked inside the document's own row: no window, no shuffle.
+    places away, so the same token has different vectors in different places.  Tokens are
+    hashed once and their neighbours picked inside the document's own row: no window, no
+    shuffle.  The weighted sums run on four components at a time, packed into one bigint.
     """
+    hashed = tokenized.select(
+        "doc_id", "dl", "tokens", F.transform("tokens", lambda t: _digest_lanes(t)).alias("lanes")
+    )
     window = F.transform(
         F.col("tokens"),
         lambda token, i: F.struct(
             i.cast("bigint").alias("pos"),
             token.alias("token"),
-            F.get(F.col("tokens"), i - 1).alias("l1"),
-            F.get(F.col("tokens"), i + 1).alias("r1"),
-            F.get(F.col("tokens"), i - 2).alias("l2"),
-            F.get(F.col("tokens"), i + 2).alias("r2"),
+            F.get(F.col("lanes"), i).alias("own"),
+            F.get(F.col("lanes"), i - 1).alias("l1"),
+            F.get(F.col("lanes"), i + 1).alias("r1"),
+            F.get(F.col("lanes"), i - 2).alias("l2"),
+            F.get(F.col("lanes"), i + 2).alias("r2"),
         ),
     )
-    rows = tokenized.select("doc_id", "dl", F.inline(window))
-    words = {name: _digest_words(F.col(name)) for name in ("token", "l1", "r1", "l2", "r2")}
-    named = {name: [f"_{name}_{j}" for j in range(3)] for name in words}
-    hashed = rows.select(
-        "doc_id", "dl", "pos", "token", *[w.alias(n) for name in words for w, n in zip(words[name], named[name])]
-    )
-
-    def part(name: str, i: int) -> Column:
-        return F.coalesce(_digest_byte([F.col(n) for n in named[name]], i), F.lit(0))
-
+    rows = hashed.select("doc_id", "dl", F.inline(window))
     own, one, two = CONTEXT_WEIGHTS
-    components = [
-        (
-            F.lit(own) * part("token", i)
-            + F.lit(one) * (part("l1", i) + part("r1", i))
-            + F.lit(two) * (part("l2", i) + part("r2", i))
-        ).cast("double")
-        / F.lit(CONTEXT_SCALE)
-        for i in range(HASH_DIM)
-    ]
-    return hashed.select("doc_id", "dl", "pos", "token", F.array(*components).alias("vec"))
+
+    def part(name: str, j: int) -> Column:
+        return F.coalesce(F.get(F.col(name), F.lit(j)), F.lit(CENTRE_LANES))
+
+    mixed = rows.select(
+        "doc_id",
+        "dl",
+        "pos",
+        "token",
+        *[
+            (
+                F.lit(own) * part("own", j)
+                + F.lit(one) * (part("l1", j) + part("r1", j))
+                + F.lit(two) * (part("l2", j) + part("r2", j))
+            ).alias(f"_m{j}")
+            for j in range(4)
+        ],
+    )
+    packed = [F.col(f"_m{j}") for j in range(4)]
+    centre = F.lit(128 * (own + 2 * one + 2 * two))
+    components = [(_lane(packed, i) - centre).cast("double") / F.lit(CONTEXT_SCALE) for i in range(HASH_DIM)]
+    return mixed.select("doc_id", "dl", "pos", "token", F.array(*components).alias("vec"))
 
 
 def hash_static_vectors(terms: DataFrame, term_col: str = "term") -> DataFrame:
     """Context-free vectors ``(term, vec)``, the stand-in for an input embedding table."""
-    words = _digest_words(F.col(term_col))
-    hashed = terms.select(F.col(term_col).alias("term"), *[w.alias(f"_w{j}") for j, w in enumerate(words)])
-    columns = [F.col(f"_w{j}") for j in range(3)]
-    components = [_digest_byte(columns, i).cast("double") / F.lit(STATIC_SCALE) for i in range(HASH_DIM)]
+    hashed = terms.select(F.col(term_col).alias("term"), _digest_lanes(F.col(term_col)).alias("_l"))
+    packed = [F.col("_l")[j] for j in range(4)]
+    components = [(_lane(packed, i) - F.lit(128)).cast("double") / F.lit(STATIC_SCALE) for i in range(HASH_DIM)]
     return hashed.select("term", F.array(*components).alias("vec"))
 
 
@@ -144,11 +158,20 @@ def encode_texts(
 def layer_norm(df: DataFrame, vec_col: str = "vec", eps: float = LAYER_NORM_EPS) -> DataFrame:
     """Replace the vector by its standardised form and add ``mu`` and ``std`` (ddof 1)."""
     vec = as_double(vec_col)
-    centred = df.withColumn("mu", array_sum(vec) / F.size(vec))
-    deviation = F.transform(vec, lambda x: (x - F.col("mu")) * (x - F.col("mu")))
-    scaled = centred.withColumn("std", F.sqrt(F.try_divide(array_sum(deviation), F.size(vec) - F.lit(1))))
-    return scaled.withColumn(
-        vec_col, F.transform(vec, lambda x: (x - F.col("mu")) / (F.col("std") + F.lit(eps)))
+
+    def scaled(mu: Column, std: Column) -> Column:
+        values = F.transform(vec, lambda x: (x - mu) / (std + F.lit(eps)))
+        return F.struct(values.alias("vec"), mu.alias("mu"), std.alias("std"))
+
+    def spread(mu: Column) -> Column:
+        squares = F.transform(vec, lambda x: (x - mu) * (x - mu))
+        return F.sqrt(F.try_divide(array_sum(squares), F.size(vec) - F.lit(1)))
+
+    normal = let(array_sum(vec) / F.size(vec), lambda mu: let(spread(mu), lambda std: scaled(mu, std)))
+    return (
+        df.withColumn("_normal", normal)
+        .withColumns({vec_col: F.col("_normal.vec"), "mu": F.col("_normal.mu"), "std": F.col("_normal.std")})
+        .drop("_normal")
     )
 
 
@@ -248,10 +271,10 @@ def apply_layers(df: DataFrame, layers: list[Layer], id_col: str = "vec_id", vec
     return df.mapInArrow(run, df.schema)
 
 
-def subtract(vec: Column, terms: DataFrame, index: str, value: str) -> Column:
-    """``vec`` minus the vector stored as ``(index, value)`` rows (a scalar subquery of one array)."""
-    packed = terms.agg(F.array_sort(F.collect_list(F.struct(index, value))).alias("p")).select(F.col(f"p.{value}"))
-    return F.zip_with(vec, packed.scalar(), lambda a, b: a - b)
+def packed_vector(terms: DataFrame, index: str, value: str) -> Column:
+    """The model vector stored as ``(index, value)`` rows, as a scalar subquery of one array."""
+    ordered = F.array_sort(F.collect_list(F.struct(index, value)))
+    return terms.agg(ordered.alias("p")).select(F.col(f"p.{value}")).scalar()
 
 
 def linear_encode(
@@ -274,7 +297,9 @@ def linear_encode(
         lo, hi = latents
         w = w.where(F.col("out").between(lo, hi - 1)).withColumn("out", F.col("out") - lo)
         b = b.where(F.col("out").between(lo, hi - 1)).withColumn("out", F.col("out") - lo)
-    centred = df.withColumn(vec_col, subtract(as_double(vec_col), pre_bias, "dim", "b"))
+    shifted = df.withColumn("_pre", packed_vector(pre_bias, "dim", "b"))
+    difference = F.zip_with(as_double(vec_col), "_pre", lambda a, b: a - b)
+    centred = shifted.withColumn(vec_col, difference).drop("_pre")
     return apply_layers(centred, [Layer(w, b)], id_col, vec_col)
 
 
@@ -302,9 +327,9 @@ def linear_decode(
     rows = latents.select(id_col, F.col("dim").alias("latent"), "weight").join(decoder, "latent")
     sums = rows.groupBy(id_col).agg(*[F.sum(F.col("weight") * F.col("vec")[i]).alias(f"c{i}") for i in range(dim)])
     full = docs.select(id_col).join(sums, id_col, "left")
-    packed = pre_bias.agg(F.array_sort(F.collect_list(F.struct("dim", "b"))).alias("p")).select(F.col("p.b"))
-    values = F.array(*[F.coalesce(f"c{i}", F.lit(0.0)) for i in range(dim)])
-    decoded = full.select(id_col, F.zip_with(values, packed.scalar(), lambda a, b: a + b).alias("vec"))
+    shifted = full.withColumn("_pre", packed_vector(pre_bias, "dim", "b"))
+    values = [F.coalesce(f"c{i}", F.lit(0.0)) + F.col("_pre")[i] for i in range(dim)]
+    decoded = shifted.select(id_col, F.array(*values).alias("vec"))
     if info is None:
         return decoded
     joined = decoded.join(info.select(id_col, "mu", "std"), id_col)

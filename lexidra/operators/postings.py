@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexidra.functions.text import term_name
-from lexidra.functions.vectors import as_double
+from lexidra.functions.vectors import as_double, let
 
 MAX_QUERY_WEIGHT = 64.0
 
@@ -108,19 +108,21 @@ def zero_by_quantile(df: DataFrame, threshold: float, vec_col: str = "vec", out:
 
     Quantiles interpolate linearly and are taken from the sorted array inside the row.
     """
-    vec = as_double(vec_col)
-    ordered = F.sort_array(vec)
 
-    def quantile(q: float) -> Column:
+    def quantile(ordered: Column, q: float) -> Column:
         place = F.lit(q) * (F.size(ordered) - F.lit(1))
-        low = F.floor(place).cast("int")
-        high = F.ceil(place).cast("int")
-        below, above = F.get(ordered, low), F.get(ordered, high)
-        return below + (above - below) * (place - low)
-
-    bounded = df.withColumn("_lo", quantile(threshold)).withColumn("_hi", quantile(1.0 - threshold))
-    keep = F.transform(vec, lambda z: F.when((z <= F.col("_lo")) | (z >= F.col("_hi")), z).otherwise(F.lit(0.0)))
-    return bounded.withColumn(out, keep).drop("_lo", "_hi")
+        below, above = F.get(ordered, F.floor(place).cast("int")), F.get(ordered, F.ceil(place).cast("int"))
+        return below + (above - below) * (place - F.floor(place))
+
+    def keep(vec: Column, low: Column, high: Column) -> Column:
+        return F.transform(vec, lambda z: F.when((z <= low) | (z >= high), z).otherwise(F.lit(0.0)))
+
+    vec = as_double(vec_col)
+    bounds = let(
+        F.sort_array(vec),
+        lambda ordered: F.struct(quantile(ordered, threshold).alias("lo"), quantile(ordered, 1.0 - threshold).alias("hi")),
+    )
+    return df.withColumn(out, let(bounds, lambda b: keep(vec, b["lo"], b["hi"])))
 
 
 def zero_by_abs(df: DataFrame, threshold: float, vec_col: str = "vec", out: str = "vec") -> DataFrame:

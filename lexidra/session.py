@@ -45,6 +45,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fill_cores(df: DataFrame, key: str) -> DataFrame:
+    """Spread an input that arrives in fewer partitions than there are cores.
+
+    A few small files would otherwise be expanded by a few tasks.  Inputs that already
+    have a partition per core, which is every large one, are left where they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def arrow_if_small(df: DataFrame, row_bytes: int, max_bytes: int = SHIP_BYTES) -> pa.Table | None:
     """``df`` as an Arrow table when at most ``max_bytes // row_bytes`` rows exist, otherwise None.
 

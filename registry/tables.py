@@ -9,7 +9,7 @@ from lexidra.functions.numeric import report
 from lexidra.functions.text import tokens_of
 from lexidra.functions.vectors import as_double
 from lexidra.operators.lexical import doc_tokens, term_frequencies
-from lexidra.session import SHIP_BYTES
+from lexidra.session import SHIP_BYTES, fill_cores
 
 VEC_DIM = 64
 ANCHOR = 3
@@ -20,7 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.lit("").alias("title"), "text")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.lit("").alias("title"), "text")
+    return fill_cores(rows, "doc_id")
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +75,7 @@ def tf_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(vec_id, label, vec)``."""
-    rows = table(spark, sf_dir, "embeddings")
+    rows = fill_cores(table(spark, sf_dir, "embeddings"), "vec_id")
     return rows.select("vec_id", F.col("label").cast("bigint").alias("label"), as_double("embedding").alias("vec"))
 
 

@@ -11,7 +11,7 @@ import time
 
 import duckdb
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.join(os.path.dirname(__file__), ".."))
 
@@ -48,10 +48,9 @@ def normal(df: pd.DataFrame) -> pd.DataFrame:
     return df.sort_values(list(df.columns), kind="stable").reset_index(drop=True)
 
 
-def differences(spark_df: DataFrame, con: duckdb.DuckDBPyConnection, sql: str) -> str | None:
+def differences(got: pd.DataFrame, want: pd.DataFrame) -> str | None:
     """None when equal, otherwise a description of the first difference."""
-    got = normal(spark_df.toPandas())
-    want = normal(con.execute(sql).df())
+    got, want = normal(got), normal(want)
     if list(got.columns) != list(want.columns):
         return f"columns {list(got.columns)} against {list(want.columns)}"
     if len(got) != len(want):
@@ -69,17 +68,20 @@ def differences(spark_df: DataFrame, con: duckdb.DuckDBPyConnection, sql: str) -
 def main(sf_dir: str, names: list[str]) -> int:
     spark, con, failed = session(), connect(sf_dir), 0
     for name in names or list(QUERIES):
-        start = time.time()
+        start, done = time.time(), None
         try:
+            got = QUERIES[name](spark, sf_dir).toPandas()
+            done = time.time()
+            problem, note = None, f"{len(got)} rows, no SQL"
             if name in ORACLE:
-                problem = differences(QUERIES[name](spark, sf_dir), con, ORACLE[name])
-                note = "equal" if problem is None else f"DIFFERENT: {problem}"
-            else:
-                problem, note = None, f"{len(QUERIES[name](spark, sf_dir).toPandas())} rows, no SQL"
+                problem = differences(got, con.execute(ORACLE[name]).df())
+                note = f"{len(got)} rows, equal" if problem is None else f"DIFFERENT: {problem}"
         except Exception as error:  # noqa: BLE001
             problem, note = error, f"ERROR {type(error).__name__}: {str(error)[:600]}"
         failed += problem is not None
-        print(f"{name:32s} {time.time() - start:6.1f}s  {note}", flush=True)
+        end = time.time()
+        done = done or end
+        print(f"{name:32s} spark {done - start:6.1f}s  sql {end - done:6.1f}s  {note}", flush=True)
     return failed
 
 
