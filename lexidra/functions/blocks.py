@@ -39,40 +39,75 @@ def snap(values: np.ndarray, scale: float = SCORE_SCALE) -> np.ndarray:
     return np.floor(values * scale + 0.5) / scale
 
 
+def _true_places(mask: np.ndarray) -> np.ndarray:
+    """Flat places of the few true entries; eight entries at a time are tested for being all false."""
+    flat = mask.ravel()
+    whole = len(flat) - len(flat) % 8
+    words = np.flatnonzero(flat[:whole].view(np.uint64))
+    group, place = np.nonzero(flat[:whole].reshape(-1, 8)[words])
+    return np.concatenate([words[group] * 8 + place, whole + np.flatnonzero(flat[whole:])])
+
+
+class ItemBlock:
+    """Items prepared for a metric: the exact operand of the product and a single-precision copy."""
+
+    def __init__(self, x: np.ndarray, metric: str) -> None:
+        if metric not in ("l2", "dot"):
+            raise ValueError(f"unknown metric {metric!r}")
+        self.metric = metric
+        self.exact = np.hstack([x, (x * x).sum(axis=1, keepdims=True)]) if metric == "l2" else x
+        self.coarse = np.ascontiguousarray(self.exact.T, dtype=np.float32)
+        self.reach = float(np.sqrt((self.exact * self.exact).sum(axis=1)).max(initial=0.0))
+
+    def __len__(self) -> int:
+        return len(self.exact)
+
+    def left(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Query operand and the part of the cost that depends on the query only."""
+        if self.metric == "l2":
+            return np.hstack([-2.0 * q, np.ones((len(q), 1))]), (q * q).sum(axis=1)
+        return -q, np.zeros(len(q))
+
+
 def block_topk(
-    q: np.ndarray, x: np.ndarray, k: int, metric: str, ceiling: np.ndarray | None = None
+    q: np.ndarray, items: ItemBlock, k: int, ceiling: np.ndarray | None = None
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The ``k`` cheapest items of every query: ``(query row, item row, cost, place from 0)``.
 
     Cost is the squared distance (``l2``) or the negated dot product (``dot``), rounded to
     the score grid; ties go to the lower item row.  ``ceiling`` drops costs above a bound
-    already known per query.  Items are visited in steps, and after the first step only
-    entries below the running k-th cost are looked at again.
+    already known per query.
+
+    Products are taken in single precision and compared with the running k-th cost plus the
+    largest error such a product can have; what passes is computed again in double
+    precision, so the result is that of the double-precision search.
     """
-    n = len(q)
-    if metric == "l2":
-        left = np.hstack([-2.0 * q, np.ones((n, 1))])
-        right = np.hstack([x, (x * x).sum(axis=1, keepdims=True)])
-        base = (q * q).sum(axis=1)
-    elif metric == "dot":
-        left, right, base = -q, x, np.zeros(n)
-    else:
-        raise ValueError(f"unknown metric {metric!r}")
+    n, metric = len(q), items.metric
+    left, base = items.left(q)
+    coarse = left.astype(np.float32)
+    unit = (left.shape[1] + 4) * 2.0**-24
+    error = unit * np.sqrt((left * left).sum(axis=1)) * items.reach + MARGIN
     bound = np.full(n, np.inf) if ceiling is None else ceiling - base
     rows = np.empty(0, dtype=np.int64)
     cols = np.empty(0, dtype=np.int64)
     costs = np.empty(0)
     place = np.empty(0, dtype=np.int64)
-    for start in range(0, len(x), ITEM_STEP):
-        raw = left @ right[start : start + ITEM_STEP].T
-        if raw.shape[1] > k and np.isinf(bound).any():
-            bound = np.minimum(bound, np.partition(raw, k - 1, axis=1)[:, k - 1])
-        r, c = np.nonzero(raw <= (bound + MARGIN)[:, None])
-        if not len(r):
+    products = below = None
+    for start in range(0, len(items), ITEM_STEP):
+        width = min(ITEM_STEP, len(items) - start)
+        if products is None or width < products.shape[1]:
+            products, below = np.empty((n, width), dtype=np.float32), np.empty((n, width), dtype=bool)
+        raw = np.matmul(coarse, items.coarse[:, start : start + width], out=products)
+        if width > k and np.isinf(bound).any():
+            bound = np.minimum(bound, np.partition(raw, k - 1, axis=1)[:, k - 1].astype(np.float64) + error)
+        limit = np.nextafter((bound + error).astype(np.float32), np.float32(np.inf))
+        hit = _true_places(np.less_equal(raw, limit[:, None], out=below))
+        if not len(hit):
             continue
-        value = raw[r, c] + base[r]
+        r, c = hit // width, hit % width + start
+        value = np.einsum("ij,ij->i", left[r], items.exact[c]) + base[r]
         value = snap(value) if metric == "l2" else -snap(-value)
-        rows, cols, costs = np.concatenate([rows, r]), np.concatenate([cols, c + start]), np.concatenate([costs, value])
+        rows, cols, costs = np.concatenate([rows, r]), np.concatenate([cols, c]), np.concatenate([costs, value])
         order = np.lexsort((cols, costs, rows))
         rows, cols, costs = rows[order], cols[order], costs[order]
         first = np.searchsorted(rows, np.arange(n))

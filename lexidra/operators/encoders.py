@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from lexidra.functions.blocks import matrix, vector_column
 from lexidra.functions.vectors import array_sum, as_double, let
-from lexidra.session import arrow_if_small
+from lexidra.session import arrow_if_small, broadcast_if_small
 
 HASH_DIM = 16
 # Weight of the token itself, of its direct neighbours and of the neighbours two places away.
@@ -324,7 +324,8 @@ def linear_decode(
     products are summed on the map side.  A document without latents yields the bias.
     ``info(id, mu, std)`` undoes layer norm.
     """
-    rows = latents.select(id_col, F.col("dim").alias("latent"), "weight").join(decoder, "latent")
+    model = broadcast_if_small(decoder, 8 * dim)
+    rows = latents.select(id_col, F.col("dim").alias("latent"), "weight").join(model, "latent")
     sums = rows.groupBy(id_col).agg(*[F.sum(F.col("weight") * F.col("vec")[i]).alias(f"c{i}") for i in range(dim)])
     full = docs.select(id_col).join(sums, id_col, "left")
     shifted = full.withColumn("_pre", packed_vector(pre_bias, "dim", "b"))
