@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexidra.functions.text import tokens_of
+from lexidra.functions.vectors import let
 from lexidra.operators.ranking import DEFAULT_TOP_K
 from lexidra.operators.search import sparse_dot_search
 
@@ -13,28 +14,48 @@ BM25_K1 = 1.2
 BM25_B = 0.75
 
 
-def token_to_docs(tokens: DataFrame, stop: list | None = None) -> DataFrame:
-    """The set of documents of every token as long rows ``(token, doc_id)``.
+def doc_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_length: int | None = None) -> DataFrame:
+    """``(doc_id, tokens array, dl)``: the tokenized document, still one row."""
+    tokens = docs.select(F.col(id_col).alias("doc_id"), tokens_of(text_col, max_length).alias("tokens"))
+    return tokens.withColumn("dl", F.size("tokens").cast("bigint"))
+
+
+def token_to_docs(tokenized: DataFrame, stop: list | None = None) -> DataFrame:
+    """The set of documents of every token as long rows ``(token, doc_id)``, without the tokens in ``stop``.
 
     The set stays long: a frequent token may occur in a third of all documents, and an
-    array of them would have to be built in one task.
+    array of them would have to be built in one task.  Repetitions are removed inside the
+    document's row, so nothing is shuffled.
     """
-    kept = tokens if not stop else tokens.where(~F.col("token").isin(list(stop)))
-    return kept.select("token", "doc_id").distinct()
+    rows = tokenized.select(F.explode(F.array_distinct("tokens")).alias("token"), "doc_id")
+    return rows if not stop else rows.where(~F.col("token").isin(list(stop)))
 
 
-def doc_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_length: int | None = None) -> DataFrame:
-    """``(doc_id, tokens array, dl)``: the tokenized document, still one row."""
-    tokens = docs.select(F.col(id_col).alias("doc_id"), tokens_of(text_col, max_length).alias("tokens"))
-    return tokens.withColumn("dl", F.size("tokens").cast("bigint"))
+def _runs(tokens: Column) -> Column:
+    """Distinct tokens with their counts, read off the sorted token array."""
+
+    def starts(ordered: Column) -> Column:
+        begins = lambda t, i: F.when((i == 0) | (F.get(ordered, i - 1) != t), i)
+        return F.filter(F.transform(ordered, begins), lambda i: i.isNotNull())
+
+    def entries(ordered: Column, begin: Column) -> Column:
+        def entry(i: Column, j: Column) -> Column:
+            end = F.coalesce(F.get(begin, j + 1), F.size(ordered))
+            return F.struct(F.get(ordered, i).alias("term"), (end - i).cast("bigint").alias("tf"))
+
+        return F.transform(begin, entry)
+
+    return let(F.sort_array(tokens), lambda ordered: let(starts(ordered), lambda begin: entries(ordered, begin)))
 
 
 def term_frequencies(tokenized: DataFrame, only_terms: DataFrame | None = None) -> DataFrame:
-    """``(doc_id, dl, term, tf)``; with ``only_terms(term)`` other terms are dropped before counting."""
-    exploded = tokenized.select("doc_id", "dl", F.explode("tokens").alias("term"))
-    if only_terms is not None:
-        exploded = exploded.join(only_terms.select("term").distinct(), "term", "left_semi")
-    return exploded.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    """``(doc_id, dl, term, tf)``; ``only_terms(term)`` drops all other terms.
+
+    A document is one row, so its terms are counted there: no shuffle, and a frequent term
+    is no different from a rare one.
+    """
+    rows = tokenized.select("doc_id", "dl", F.inline(_runs(F.col("tokens"))))
+    return rows if only_terms is None else rows.join(only_terms.select("term").distinct(), "term", "left_semi")
 
 
 def document_frequencies(frequencies: DataFrame) -> DataFrame:
@@ -42,23 +63,20 @@ def document_frequencies(frequencies: DataFrame) -> DataFrame:
     return frequencies.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def corpus_totals(tokenized: DataFrame) -> DataFrame:
-    """One row ``(n_docs, avg_dl)``; needs no shuffle of tokens."""
-    return tokenized.agg(
-        F.count("*").alias("n_docs"),
-        F.try_divide(F.sum("dl").cast("double"), F.count("*")).alias("avg_dl"),
-    )
+def corpus_totals(tokenized: DataFrame) -> Column:
+    """Scalar struct ``(n_docs, avg_dl)``; one pass that shuffles no tokens."""
+    n_docs = F.count("*")
+    avg_dl = F.try_divide(F.sum("dl").cast("double"), n_docs)
+    return tokenized.agg(F.struct(n_docs.alias("n_docs"), avg_dl.alias("avg_dl")).alias("totals")).scalar()
 
 
 def collection_statistics(tokenized: DataFrame) -> DataFrame:
     """Everything BM25 needs, per posting: ``(doc_id, term, tf, df, dl, n_docs, avg_dl)``."""
     frequencies = term_frequencies(tokenized)
-    totals = corpus_totals(tokenized)
     return (
         frequencies.join(document_frequencies(frequencies), "term")
-        .withColumn("n_docs", totals.select("n_docs").scalar())
-        .withColumn("avg_dl", totals.select("avg_dl").scalar())
-        .select("doc_id", "term", "tf", "df", "dl", "n_docs", "avg_dl")
+        .withColumn("_totals", corpus_totals(tokenized))
+        .select("doc_id", "term", "tf", "df", "dl", "_totals.n_docs", "_totals.avg_dl")
     )
 
 
@@ -67,21 +85,19 @@ def bm25_postings(
 ) -> DataFrame:
     """Postings whose weight is the BM25 contribution of one query occurrence of the term.
 
-    ``only_terms`` restricts the work to the terms of a query batch: the tokens of other
-    terms are dropped in the scan stage, before anything is shuffled.  Lengths and weights
+    ``only_terms`` restricts the work to the terms of a query batch: other terms are dropped
+    in the scan stage, before anything is shuffled.  The corpus is tokenized once per use of
+    the counts, which moves no data, rather than shuffled to be used twice.  Lengths and weights
     are exact, where a search library would store them in reduced precision.
     """
     frequencies = term_frequencies(tokenized, only_terms)
-    totals = corpus_totals(tokenized)
-    n_docs = totals.select("n_docs").scalar().cast("double")
-    avg_dl = totals.select("avg_dl").scalar()
+    counted = frequencies.join(document_frequencies(frequencies), "term").withColumn("_totals", corpus_totals(tokenized))
+    n_docs, avg_dl = F.col("_totals.n_docs").cast("double"), F.col("_totals.avg_dl")
     df = F.col("df").cast("double")
     tf = F.col("tf").cast("double")
     idf = F.log(F.lit(1.0) + (n_docs - df + F.lit(0.5)) / (df + F.lit(0.5)))
     saturation = tf / (tf + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl").cast("double") / avg_dl))
-    return frequencies.join(document_frequencies(frequencies), "term").select(
-        "term", "doc_id", (idf * saturation).alias("weight")
-    )
+    return counted.select("term", "doc_id", (idf * saturation).alias("weight"))
 
 
 def query_term_counts(queries: DataFrame, text_col: str = "text") -> DataFrame:
