@@ -14,13 +14,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexidra.functions.blocks import matrix, vector_column
 from lexidra.functions.vectors import array_sum, as_double, let
-from lexidra.session import arrow_if_small, broadcast_if_small
+from lexidra.session import arrow_if_small
 
 HASH_DIM = 16
 # Weight of the token itself, of its direct neighbours and of the neighbours two places away.
@@ -28,6 +29,7 @@ CONTEXT_WEIGHTS = (4, 2, 1)
 CONTEXT_SCALE = 1024.0
 STATIC_SCALE = 128.0
 LAYER_NORM_EPS = 1e-5
+DECODE_STEP = 256
 
 
 # --- token and text vectors ---------------------------------------------------------------
@@ -320,23 +322,61 @@ def linear_decode(
 ) -> DataFrame:
     """``(id, vec)`` reconstructed from postings ``(id, dim, weight)``: ``z . D + pre_bias``.
 
-    ``decoder(latent, vec)`` may be tied or not.  Only nonzero latents take part, and the
-    products are summed on the map side.  A document without latents yields the bias.
-    ``info(id, mu, std)`` undoes layer norm.
+    ``decoder(latent, vec)`` may be tied or not.  Only nonzero latents take part.  A document
+    without latents yields the bias.  ``info(id, mu, std)`` undoes layer norm.  A decoder within
+    the shipping bound is multiplied inside the tasks, a larger one is joined.
     """
-    model = broadcast_if_small(decoder, 8 * dim)
-    rows = latents.select(id_col, F.col("dim").alias("latent"), "weight").join(model, "latent")
-    sums = rows.groupBy(id_col).agg(*[F.sum(F.col("weight") * F.col("vec")[i]).alias(f"c{i}") for i in range(dim)])
-    full = docs.select(id_col).join(sums, id_col, "left")
-    shifted = full.withColumn("_pre", packed_vector(pre_bias, "dim", "b"))
-    values = [F.coalesce(f"c{i}", F.lit(0.0)) + F.col("_pre")[i] for i in range(dim)]
-    decoded = shifted.select(id_col, F.array(*values).alias("vec"))
+    rows = latents.select(id_col, F.col("dim").alias("latent"), F.col("weight").cast("double").alias("weight"))
+    rows = docs.select(id_col).join(rows, id_col, "left")
+    model = decoder.select("latent", as_double("vec").alias("vec"))
+    table = arrow_if_small(model, 8 * dim + 8)
+    decoded = _decode_joined(rows, model, id_col, dim) if table is None else _decode_shipped(rows, table, id_col, dim)
+    shifted = decoded.withColumn("_pre", packed_vector(pre_bias, "dim", "b"))
+    plain = shifted.select(id_col, F.zip_with("vec", "_pre", lambda a, b: a + b).alias("vec"))
     if info is None:
-        return decoded
-    joined = decoded.join(info.select(id_col, "mu", "std"), id_col)
+        return plain
+    joined = plain.join(info.select(id_col, "mu", "std"), id_col)
     return joined.select(id_col, F.transform("vec", lambda x: x * F.col("std") + F.col("mu")).alias("vec"))
 
 
+def _decode_shipped(rows: DataFrame, table: pa.Table, id_col: str, dim: int) -> DataFrame:
+    """The active latents of a document, at most one per decoder row, meet in one row and are multiplied there."""
+    latent = table["latent"].to_numpy()
+    dense = np.zeros((int(latent.max()) + 1 if len(latent) else 0, dim))
+    dense[latent] = matrix(table["vec"])
+    shared = rows.sparkSession.sparkContext.broadcast(dense)
+    active = F.when(F.col("latent").isNotNull(), F.struct("latent", "weight"))
+    packed = rows.groupBy(id_col).agg(F.collect_list(active).alias("z"))
+    packed = packed.select(id_col, F.col("z.latent").alias("latents"), F.col("z.weight").alias("weights"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, DECODE_STEP):
+                part = batch.slice(start, DECODE_STEP)
+                z = np.zeros((part.num_rows, len(shared.value)))
+                sizes = pc.list_value_length(part.column("latents")).to_numpy()
+                row = np.repeat(np.arange(part.num_rows), sizes)
+                z[row, part.column("latents").flatten().to_numpy()] = part.column("weights").flatten().to_numpy()
+                yield pa.RecordBatch.from_arrays([part.column(id_col), vector_column(z @ shared.value)], names=[id_col, "vec"])
+
+    kind = rows.schema[id_col].dataType.simpleString()
+    return packed.mapInArrow(run, f"{id_col} {kind}, vec array<double>")
+
+
+def _decode_joined(rows: DataFrame, decoder: DataFrame, id_col: str, dim: int) -> DataFrame:
+    """The same by a join on the latent and one sum per component."""
+    sums = (
+        rows.join(decoder, "latent")
+        .select(id_col, "weight", F.posexplode("vec").alias("i", "x"))
+        .groupBy(id_col, "i")
+        .agg(F.sum(F.col("weight") * F.col("x")).alias("y"))
+    )
+    packed = sums.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("i", "y"))).alias("p"))
+    full = rows.select(id_col).distinct().join(packed, id_col, "left")
+    zeros = F.array_repeat(F.lit(0.0), dim)
+    return full.select(id_col, F.coalesce(F.col("p.y"), zeros).alias("vec"))
+
+
 def mlp_score(
     df: DataFrame,
     layers: list[tuple[DataFrame, DataFrame]],

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lexidra.functions.numeric import score_sum, snap
 from lexidra.operators.postings import drop_self_hits
 from lexidra.operators.ranking import rank_topk
+from lexidra.session import cut_lineage
 
 K_VALUES = (1, 3, 5, 10, 100, 1000)
 METRICS = ("ndcg", "map", "recall", "precision", "mrr")
@@ -49,9 +50,13 @@ def _query_grid(queries: DataFrame, k_values: tuple[int, ...]) -> DataFrame:
 
 
 def per_query_measures(run: DataFrame, qrels: DataFrame, k_values: tuple[int, ...] = K_VALUES) -> DataFrame:
-    """One row per judged query and cut-off: ``(query_id, k, retrieved, ndcg, ap, recall, precision, rr)``."""
+    """One row per judged query and cut-off: ``(query_id, k, retrieved, ndcg, ap, recall, precision, rr)``.
+
+    The judged hits, at most ``max(k_values)`` per query, are stored once: a run is often the
+    end of a long search, and several measures read it.
+    """
     depth = max(k_values)
-    hits = judged_hits(run, qrels, depth)
+    hits = cut_lineage(judged_hits(run, qrels, depth))
     retrieved = hits.select("query_id").distinct().withColumn("retrieved", F.lit(True))
 
     running = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)

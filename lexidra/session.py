@@ -7,7 +7,6 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 # A table is handed to every task only when its rows, counted, fit in this many bytes.
 SHIP_BYTES = 64 * 1024 * 1024
@@ -66,15 +65,6 @@ def arrow_if_small(df: DataFrame, row_bytes: int, max_bytes: int = SHIP_BYTES) -
     return table if table.num_rows <= bound else None
 
 
-def broadcast_if_small(df: DataFrame, row_bytes: int, max_bytes: int = SHIP_BYTES) -> DataFrame:
-    """``df`` marked for a broadcast join when its counted rows fit ``max_bytes``, else unchanged.
-
-    The count stops one row above the bound.
-    """
-    bound = max(1, max_bytes // max(1, row_bytes))
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence test through the file system that owns the path."""
     jvm = spark._jvm

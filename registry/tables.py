@@ -9,7 +9,7 @@ from lexidra.functions.numeric import report
 from lexidra.functions.text import tokens_of
 from lexidra.functions.vectors import as_double
 from lexidra.operators.lexical import doc_tokens, term_frequencies
-from lexidra.session import SHIP_BYTES, fill_cores
+from lexidra.session import SHIP_BYTES, cut_lineage, fill_cores
 
 VEC_DIM = 64
 ANCHOR = 3
@@ -64,7 +64,7 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     if size:
         direct = docs.join(F.broadcast(short), F.contains(F.col("text"), F.col("passage")))
         found = found.unionByName(direct.select("query_id", "doc_id"))
-    return found.withColumn("rel", F.lit(1).cast("bigint"))
+    return cut_lineage(found.withColumn("rel", F.lit(1).cast("bigint")))
 
 
 def tf_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,13 +81,9 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def label_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One query vector per label: the component means of its vectors, ``(query_id, vec)``."""
-    means = [report(F.avg(F.col("vec")[i])).alias(f"m{i}") for i in range(VEC_DIM)]
-    return (
-        vectors(spark, sf_dir)
-        .groupBy(F.col("label").alias("query_id"))
-        .agg(*means)
-        .select("query_id", F.array(*[f"m{i}" for i in range(VEC_DIM)]).alias("vec"))
-    )
+    means = components(vectors(spark, sf_dir), "label").groupBy("label", "dim").agg(report(F.avg("value")).alias("m"))
+    packed = F.array_sort(F.collect_list(F.struct("dim", "m")))
+    return means.groupBy(F.col("label").alias("query_id")).agg(packed.alias("p")).select("query_id", F.col("p.m").alias("vec"))
 
 
 def components(df: DataFrame, id_col: str, vec_col: str = "vec", value: str = "value") -> DataFrame:

@@ -222,7 +222,7 @@ def test_layers_shipped_and_joined(spark, kind, monkeypatch):
         encoders.mlp_score(frame(spark, "vec_id", x), chain, "relu6")
 
 
-def test_linear_autoencoder(spark):
+def test_linear_autoencoder(spark, monkeypatch):
     x, w, pre, lat = RNG.normal(size=(6, 4)), RNG.normal(size=(8, 4)), RNG.normal(size=4), RNG.normal(size=8)
     weights = layers(spark, w, lat)[0].toDF("latent", "dim", "w")
     pre_bias = spark.createDataFrame([(i, float(b)) for i, b in enumerate(pre)], "dim bigint, b double")
@@ -246,10 +246,18 @@ def test_linear_autoencoder(spark):
     decoder = encoders.decoder_rows(weights)
     plain = encoders.linear_decode(sparse, decoder, pre_bias, rows, 4)
     assert np.allclose([r.vec for r in plain.orderBy("vec_id").collect()], kept @ w + pre)
+    few = sparse.where("vec_id < 3")
+    shipped = encoders.linear_decode(few, decoder, pre_bias, rows, 4).orderBy("vec_id").collect()
     scaled = encoders.linear_decode(sparse, decoder, pre_bias, rows, 4, info)
     assert np.allclose([r.vec for r in scaled.orderBy("vec_id").collect()], (kept @ w + pre) * 2.0 + 1.5)
 
 
+    monkeypatch.setattr(encoders, "arrow_if_small", lambda *a, **k: None)
+    joined = encoders.linear_decode(few, decoder, pre_bias, rows, 4).orderBy("vec_id").collect()
+    assert np.allclose([r.vec for r in shipped], [r.vec for r in joined])
+    assert np.allclose(joined[5].vec, pre)
+
+
 def test_layer_norm_and_zeroing(spark):
     x = RNG.normal(size=(5, 7))
     rows = encoders.layer_norm(frame(spark, "vec_id", x)).orderBy("vec_id").collect()
