@@ -122,12 +122,12 @@ def test_dictionary_equals_plain_lloyd(spark, token_vecs):
     assert {r.term: tuple(r.vec) for r in got.collect()} == want
 
 
-def test_dictionary_with_hot_tokens_is_the_same(spark, token_vecs, monkeypatch):
+def test_dictionary_of_many_blocks_is_the_same(spark, token_vecs, monkeypatch):
     plain = clustering.train_vector_dictionary(token_vecs, encoders.HASH_DIM, k=3, iterations=2)
     want = {r.term: tuple(r.vec) for r in plain.collect()}
-    monkeypatch.setattr(clustering, "MIN_HOT_ROWS", 5)
-    salted = clustering.train_vector_dictionary(token_vecs, encoders.HASH_DIM, k=3, iterations=2)
-    assert {r.term: tuple(r.vec) for r in salted.collect()} == want
+    monkeypatch.setattr(clustering, "BLOCK_POINTS", 5)
+    blocked = clustering.train_vector_dictionary(token_vecs, encoders.HASH_DIM, k=3, iterations=2)
+    assert {r.term: tuple(r.vec) for r in blocked.collect()} == want
 
 
 def test_dictionary_converges(spark, token_vecs):
