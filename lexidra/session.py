@@ -7,6 +7,7 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # A table is handed to every task only when its rows, counted, fit in this many bytes.
 SHIP_BYTES = 64 * 1024 * 1024
@@ -58,11 +59,12 @@ def fill_cores(df: DataFrame, key: str) -> DataFrame:
 def arrow_if_small(df: DataFrame, row_bytes: int, max_bytes: int = SHIP_BYTES) -> pa.Table | None:
     """``df`` as an Arrow table when at most ``max_bytes // row_bytes`` rows exist, otherwise None.
 
-    The limit is part of the plan: no more than one row above the bound is ever fetched.
+    The rows are counted first, without their columns and partition by partition, so a large
+    input is given up after the first partitions that exceed the bound.
     """
     bound = max(1, max_bytes // max(1, row_bytes))
-    table = df.limit(bound + 1).toArrow()
-    return table if table.num_rows <= bound else None
+    counted = len(df.select(F.lit(1).alias("one")).take(bound + 1))
+    return df.toArrow() if counted <= bound else None
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
