@@ -4,6 +4,7 @@ Floating-point sums depend on the order in which partitions arrive, and a rank c
 turns a difference in the last bit into a different result.  Scores are therefore
 summed as 64-bit fixed-point numbers with nine decimals: integer addition gives the
 same total for every partitioning, retry and engine, and stays inside generated code.
+Totals may reach 9.2e9; beyond that the sum raises an overflow error in ANSI mode.
 """
 
 from __future__ import annotations

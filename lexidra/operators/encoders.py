@@ -121,19 +121,19 @@ def encode_tokens(tokenized: DataFrame, encoder: Callable[[list[list[str]]], lis
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             lists = [list(tokens) for tokens in batch["tokens"]]
-            for doc_id, tokens, vectors in zip(batch["doc_id"], lists, encoder(lists)):
-                if len(vectors) != len(tokens):
-                    raise ValueError("the encoder must return one vector per token")
-                if tokens:
-                    yield pd.DataFrame(
-                        {
-                            "doc_id": doc_id,
-                            "dl": len(tokens),
-                            "pos": range(len(tokens)),
-                            "token": tokens,
-                            "vec": [np.asarray(v, dtype=np.float64) for v in vectors],
-                        }
-                    )
+            vectors = encoder(lists)
+            sizes = np.array([len(tokens) for tokens in lists], dtype=np.int64)
+            if [len(v) for v in vectors] != sizes.tolist():
+                raise ValueError("the encoder must return one vector per token")
+            yield pd.DataFrame(
+                {
+                    "doc_id": np.repeat(batch["doc_id"].to_numpy(), sizes),
+                    "dl": np.repeat(sizes, sizes),
+                    "pos": np.concatenate([np.arange(n) for n in sizes]) if len(sizes) else sizes,
+                    "token": [token for tokens in lists for token in tokens],
+                    "vec": [np.asarray(v, dtype=np.float64) for doc_vectors in vectors for v in doc_vectors],
+                }
+            )
 
     id_type = tokenized.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, dl bigint, pos bigint, token string, vec array<double>"

@@ -45,7 +45,7 @@ def rank_topk(
 
 
 def with_ordinal(df: DataFrame, order_col: str, name: str = "ordinal", buckets: int | None = None) -> DataFrame:
-    """Number all rows 0, 1, 2, ... in the order of the unique numeric column ``order_col``.
+    """Number all rows 0, 1, 2, ... in the order of the unique numeric column ``order_col`` (decimals included).
 
     A global window would run in one task.  Instead the key range is cut at approximate
     quantiles into parts of similar size (four per shuffle partition unless given), the
@@ -55,8 +55,8 @@ def with_ordinal(df: DataFrame, order_col: str, name: str = "ordinal", buckets:
     """
     spark = df.sparkSession
     parts = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    edges = sorted(set(df.approxQuantile(order_col, [i / parts for i in range(1, parts)], 0.5 / parts)))
     keyed = df.withColumn("_key", F.col(order_col).cast("double"))
+    edges = sorted(set(keyed.approxQuantile("_key", [i / parts for i in range(1, parts)], 0.5 / parts)))
     splits = [float("-inf"), *edges, float("inf")]
     placed = Bucketizer(splits=splits, inputCol="_key", outputCol="_part").transform(keyed).drop("_key")
     counted = placed.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect()

@@ -84,9 +84,9 @@ def relative_distance_distortion(
     def squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             out = []
-            for r in part.to_pylist():
-                xa, xb = (np.asarray(r[c]).reshape(r[m], -1) for c, m in (("x", "m"), ("x2", "m2")))
-                za, zb = (np.asarray(r[c]).reshape(r[m], -1) for c, m in (("z", "m"), ("z2", "m2")))
+            for i in range(part.num_rows):
+                xa, za = (_rows(part, i, name, "m") for name in ("x", "z"))
+                xb, zb = (_rows(part, i, name, "m2") for name in ("x2", "z2"))
                 dx, dz = (xa * xa).sum(axis=1, keepdims=True), (za * za).sum(axis=1, keepdims=True)
                 if (dx == 0).any() or (dz == 0).any():
                     out.append(None)
@@ -105,6 +105,11 @@ def relative_distance_distortion(
     )
 
 
+def _rows(part: pa.RecordBatch, i: int, name: str, size: str) -> np.ndarray:
+    """Matrix of the flattened vectors in column ``name`` of row ``i``."""
+    return part.column(name)[i].values.to_numpy(zero_copy_only=False).reshape(part.column(size)[i].as_py(), -1)
+
+
 def diag_gaussian_logpdf(rows: DataFrame, reduce: bool = True, id_col: str = "vec_id") -> DataFrame:
     """Log density of ``(id, dim, x, mu, v)`` under a diagonal normal, per row or per component."""
     density = F.lit(-0.5) * (

@@ -11,13 +11,25 @@ from lexidra.operators.ranking import first_rows
 CORPUS_SCHEMA = "_id string, title string, text string"
 QUERY_SCHEMA = "_id string, text string"
 QREL_SCHEMA = "`query-id` string, `corpus-id` string, score int"
+# Row numbers inside a task take the low 33 bits of Spark's increasing ids.
+ROWS_PER_TASK = 2**33
 SPLITS = ("train", "dev", "test")
 
 
-def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """``corpus.jsonl`` with ``_id, title, text`` as ``(doc_id, title, text)``."""
+def read_corpus(spark: SparkSession, path: str, with_line_order: bool = False) -> DataFrame:
+    """``corpus.jsonl`` with ``_id, title, text`` as ``(doc_id, title, text)``.
+
+    ``with_line_order`` adds ``line_order``, a unique number that grows with the line of a single
+    file, so that "the first n documents" has a meaning for text ids: the start of the split the
+    line was read from, then the row number inside the task.
+    """
     rows = spark.read.schema(CORPUS_SCHEMA).json(path)
-    return rows.select(F.col("_id").alias("doc_id"), F.coalesce("title", F.lit("")).alias("title"), "text")
+    columns = [F.col("_id").alias("doc_id"), F.coalesce("title", F.lit("")).alias("title"), F.col("text")]
+    if with_line_order:
+        row_in_task = F.monotonically_increasing_id().bitwiseAND(F.lit(ROWS_PER_TASK - 1))
+        start = F.col("_metadata.file_block_start").cast("decimal(20,0)")
+        columns.append((start * F.lit(ROWS_PER_TASK) + row_in_task).alias("line_order"))
+    return rows.select(*columns)
 
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:

@@ -55,6 +55,19 @@ def test_truncation_keeps_judged_queries(spark):
         C.truncate_corpus(corpus, 0)
 
 
+def test_first_lines_of_a_split_file(spark, tmp_path):
+    lines = [f'{{"_id": "d{(i * 7919) % 3000}", "title": "", "text": "{"x" * (i % 40)}"}}' for i in range(3000)]
+    (tmp_path / "corpus.jsonl").write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        corpus = C.read_corpus(spark, str(tmp_path / "corpus.jsonl"), with_line_order=True)
+        assert corpus.rdd.getNumPartitions() > 4
+        kept = C.truncate_corpus(corpus, 700, "line_order")
+        assert {r.doc_id for r in kept.collect()} == {f"d{(i * 7919) % 3000}" for i in range(700)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_copies_keep_the_first(spark):
     corpus = spark.createDataFrame([(3, "x"), (1, "x"), (2, "y"), (9, "x")], "doc_id bigint, text string")
     assert {r.doc_id for r in C.dedup_corpus(corpus).collect()} == {1, 2}
