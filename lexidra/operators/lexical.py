@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexidra.functions.numeric import score_sum
 from lexidra.functions.text import tokens_of
 from lexidra.functions.vectors import let
-from lexidra.operators.ranking import DEFAULT_TOP_K
-from lexidra.operators.search import sparse_dot_search
+from lexidra.operators.ranking import DEFAULT_TOP_K, rank_topk
 
 BM25_K1 = 1.2
 BM25_B = 0.75
@@ -48,14 +48,13 @@ def _runs(tokens: Column) -> Column:
     return let(F.sort_array(tokens), lambda ordered: let(starts(ordered), lambda begin: entries(ordered, begin)))
 
 
-def term_frequencies(tokenized: DataFrame, only_terms: DataFrame | None = None) -> DataFrame:
-    """``(doc_id, dl, term, tf)``; ``only_terms(term)`` drops all other terms.
+def term_frequencies(tokenized: DataFrame) -> DataFrame:
+    """``(doc_id, dl, term, tf)``.
 
     A document is one row, so its terms are counted there: no shuffle, and a frequent term
     is no different from a rare one.
     """
-    rows = tokenized.select("doc_id", "dl", F.inline(_runs(F.col("tokens"))))
-    return rows if only_terms is None else rows.join(only_terms.select("term").distinct(), "term", "left_semi")
+    return tokenized.select("doc_id", "dl", F.inline(_runs(F.col("tokens"))))
 
 
 def document_frequencies(frequencies: DataFrame) -> DataFrame:
@@ -80,24 +79,23 @@ def collection_statistics(tokenized: DataFrame) -> DataFrame:
     )
 
 
-def bm25_postings(
-    tokenized: DataFrame, only_terms: DataFrame | None = None, k1: float = BM25_K1, b: float = BM25_B
-) -> DataFrame:
-    """Postings whose weight is the BM25 contribution of one query occurrence of the term.
-
-    ``only_terms`` restricts the work to the terms of a query batch: other terms are dropped
-    in the scan stage, before anything is shuffled.  The corpus is tokenized once per use of
-    the counts, which moves no data, rather than shuffled to be used twice.  Lengths and weights
-    are exact, where a search library would store them in reduced precision.
-    """
-    frequencies = term_frequencies(tokenized, only_terms)
-    counted = frequencies.join(document_frequencies(frequencies), "term").withColumn("_totals", corpus_totals(tokenized))
+def _bm25_weight(k1: float, b: float) -> Column:
+    """Contribution of one query occurrence of a term, from ``tf, df, dl`` and the corpus totals."""
     n_docs, avg_dl = F.col("_totals.n_docs").cast("double"), F.col("_totals.avg_dl")
-    df = F.col("df").cast("double")
-    tf = F.col("tf").cast("double")
+    df, tf = F.col("df").cast("double"), F.col("tf").cast("double")
     idf = F.log(F.lit(1.0) + (n_docs - df + F.lit(0.5)) / (df + F.lit(0.5)))
     saturation = tf / (tf + F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl").cast("double") / avg_dl))
-    return counted.select("term", "doc_id", (idf * saturation).alias("weight"))
+    return idf * saturation
+
+
+def bm25_postings(tokenized: DataFrame, k1: float = BM25_K1, b: float = BM25_B) -> DataFrame:
+    """Postings ``(term, doc_id, weight)`` to be stored: a dot product with token counts is the BM25 score.
+
+    Lengths and weights are exact, where a search library would store them in reduced precision.
+    """
+    frequencies = term_frequencies(tokenized)
+    counted = frequencies.join(document_frequencies(frequencies), "term").withColumn("_totals", corpus_totals(tokenized))
+    return counted.select("term", "doc_id", _bm25_weight(k1, b).alias("weight"))
 
 
 def query_term_counts(queries: DataFrame, text_col: str = "text") -> DataFrame:
@@ -117,7 +115,18 @@ def bm25_search(
     b: float = BM25_B,
     text_col: str = "text",
 ) -> DataFrame:
-    """Rank documents for every query: any query token may match, repeated tokens count again."""
+    """Rank documents for every query: any query token may match, repeated tokens count again.
+
+    Document frequencies join the query side, so the corpus takes part in one join only.  A
+    query batch below the broadcast threshold is shipped to the scan, and its terms filter
+    the counting as well; a larger one is shuffled, where adaptive execution splits the
+    partitions of frequent terms.  The corpus is tokenized once per use of the counts, which
+    moves no data, rather than shuffled to be used twice.
+    """
     terms = query_term_counts(queries)
-    postings = bm25_postings(doc_tokens(docs, text_col=text_col), terms, k1, b)
-    return sparse_dot_search(terms, postings, k, max_weight=None)
+    tokenized = doc_tokens(docs, text_col=text_col)
+    frequencies = term_frequencies(tokenized)
+    asked = document_frequencies(frequencies).join(terms.select("term").distinct(), "term", "left_semi")
+    matched = frequencies.join(terms.join(asked, "term"), "term").withColumn("_totals", corpus_totals(tokenized))
+    scored = matched.groupBy("query_id", "doc_id").agg(score_sum(F.col("weight") * _bm25_weight(k1, b)).alias("score"))
+    return rank_topk(scored, k)

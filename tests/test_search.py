@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexidra.operators import postings as P
 from lexidra.operators import search as S
-from lexidra.operators.lexical import bm25_search, doc_tokens, term_frequencies
+from lexidra.operators.lexical import bm25_postings, bm25_search, doc_tokens, query_term_counts, term_frequencies
 from lexidra.operators.ranking import batch_id, first_rows, rank_topk, with_ordinal
 
 
@@ -129,3 +129,5 @@ def test_bm25_counts_repeated_query_tokens(spark):
     one, two = hits(bm25_search(once, docs, 5)), hits(bm25_search(twice, docs, 5))
     assert [h[1] for h in one] == [1, 0] and [h[1] for h in two] == [1, 0]
     assert two[0][2] == pytest.approx(2 * one[0][2], abs=1e-8)
+    stored = bm25_postings(doc_tokens(docs))
+    assert hits(S.sparse_dot_search(query_term_counts(twice), stored, 5)) == two
