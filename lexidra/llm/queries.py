@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexidra.llm.exact_dedup import exact_groups
 from lexidra.llm.packing import pack
+from lexidra.llm.simhash import simhash_components
 from lexidra.llm.tables import table
 from lexidra.llm.token_counts import token_counts
 
@@ -16,18 +18,38 @@ BYTE_BPE = "byte_bpe_50k.json"
 TOKEN_LIMIT = 512
 
 
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with an even id are the snapshot, all others the incoming batch."""
+    docs = table(spark, sf_dir, "documents")
+    return exact_groups(docs, F.coalesce(F.col("doc_id") % 2 != 0, F.lit(True)))
+
+
 def op6_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_exact_dedup": op5_exact_dedup,
     "op6_harmonic_packing": op6_harmonic_packing,
+    "op7_simhash": op7_simhash,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLE: dict[str, str] = {}
+NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
+
+ORACLE: dict[str, str] = {
+    "op5_exact_dedup": f"""
+        WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS points, sha256({NORMAL}) AS text_sha256 FROM documents)
+        SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
+            row_number() OVER w = 1 AS kept, text_sha256
+        FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id)""",
+}
