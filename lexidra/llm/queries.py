@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexidra.llm.exact_dedup import exact_groups
+from lexidra.llm.line_dedup import dedup_lines
 from lexidra.llm.mixing import mix_report
 from lexidra.llm.packing import pack
 from lexidra.llm.simhash import simhash_components
@@ -19,6 +20,11 @@ BYTE_BPE = "byte_bpe_50k.json"
 TOKEN_LIMIT = 512
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", "text")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_report(table(spark, sf_dir, "documents"))
 
@@ -43,6 +49,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_line_dedup": op3_line_dedup,
     "op4_mixing": op4_mixing,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_harmonic_packing": op6_harmonic_packing,
