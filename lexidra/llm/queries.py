@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexidra.llm import chat, secret_scan
 from lexidra.llm.exact_dedup import exact_groups
 from lexidra.llm.line_dedup import dedup_lines
 from lexidra.llm.mixing import mix_report
@@ -20,6 +21,14 @@ BYTE_BPE = "byte_bpe_50k.json"
 TOKEN_LIMIT = 512
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse(table(spark, sf_dir, "conversations"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_lines(table(spark, sf_dir, "documents"))
     return found.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", "text")
@@ -49,6 +58,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
+    "op2_chat_formatting": op2_chat_formatting,
     "op3_line_dedup": op3_line_dedup,
     "op4_mixing": op4_mixing,
     "op5_exact_dedup": op5_exact_dedup,
@@ -60,6 +71,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
 
 ORACLE: dict[str, str] = {
+    "op1_secret_scan": secret_scan.sql(),
+    "op2_chat_formatting": chat.SQL,
     "op4_mixing": r"""
         WITH d AS MATERIALIZED (
             SELECT doc_id, source, md5('7:' || coalesce(doc_id::VARCHAR, 'null')) AS key,
