@@ -13,6 +13,7 @@ from lexidra.llm.exact_dedup import exact_groups
 from lexidra.llm.line_dedup import dedup_lines
 from lexidra.llm.mixing import mix_report
 from lexidra.llm.packing import pack
+from lexidra.llm.resample import weigh
 from lexidra.llm.simhash import simhash_components
 from lexidra.llm.tables import table
 from lexidra.llm.token_counts import token_counts
@@ -52,6 +53,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = weigh(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
+    return found.select("row.doc_id", "n_grams", "log_weight", "key", "kept")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -65,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_harmonic_packing": op6_harmonic_packing,
     "op7_simhash": op7_simhash,
+    "op8_quality_resampling": op8_quality_resampling,
     "op10_token_counts": op10_token_counts,
 }
 
