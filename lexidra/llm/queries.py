@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexidra.llm import chat, secret_scan
+from lexidra.llm.cover_search import top_products
 from lexidra.llm.exact_dedup import exact_groups
 from lexidra.llm.line_dedup import dedup_lines
 from lexidra.llm.mixing import mix_report
@@ -58,6 +59,10 @@ def op8_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_grams", "log_weight", "key", "kept")
 
 
+def op9_cover_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -72,9 +77,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_harmonic_packing": op6_harmonic_packing,
     "op7_simhash": op7_simhash,
     "op8_quality_resampling": op8_quality_resampling,
+    "op9_cover_search": op9_cover_search,
     "op10_token_counts": op10_token_counts,
 }
 
+_INTEGERS = "[floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding]"
+
 NORMAL = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
 
 ORACLE: dict[str, str] = {
@@ -122,4 +130,10 @@ ORACLE: dict[str, str] = {
         SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
             row_number() OVER w = 1 AS kept, text_sha256
         FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY points DESC, doc_id)""",
+    "op9_cover_search": f"""
+        WITH v AS MATERIALIZED (SELECT vec_id, {_INTEGERS} AS v FROM embeddings),
+        s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.v, v.v) AS BIGINT) AS score
+            FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0)
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+        FROM s QUALIFY rank <= 5""",
 }
