@@ -180,7 +180,8 @@ def _centres(rows: DataFrame, counts: dict[int, int]) -> dict[int, np.ndarray]:
     sample = rows.select("dim", "vec").orderBy(F.xxhash64("row_id", "vec"), "row_id").limit(SAMPLE).collect()
     out = {}
     for dim in {r["dim"] for r in sample}:
-        points = np.array([np.frombuffer(r["vec"], dtype="<i8") for r in sample if r["dim"] == dim], dtype=np.float64).reshape(-1, dim)
+        own = [np.frombuffer(r["vec"], dtype="<i8") for r in sample if r["dim"] == dim]
+        points = np.array(own, dtype=np.float64).reshape(len(own), dim)
         wanted = min(MOST_CENTRES, max(1, -(-counts[dim] // BLOCK)))
         # The level of the cover tree that has about as many nodes as wanted.
         radius = Node(points, np.arange(len(points)), len(points)).radius
