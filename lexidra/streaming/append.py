@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -15,11 +16,13 @@ def append_stream(
 ) -> DataStreamWriter:
     """Writer that appends each micro-batch of ``docs`` to the index at ``root``.
 
-    The batch number of the stream is the batch folder of the index, so a batch that is
-    replayed after a failure overwrites its own output.
+    The checkpoint folder names the writer and the number of the micro-batch its epoch, so a
+    batch that is replayed after a failure is written once.  A stream that starts anew in
+    another folder is another writer; documents that the index holds already stop it.
     """
+    writer = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
-    def add(batch: DataFrame, batch_number: int) -> None:
-        append_documents(to_postings(batch), batch, root, batch_number)
+    def add(batch: DataFrame, number: int) -> None:
+        append_documents(to_postings(batch), batch, root, writer, number)
 
     return docs.writeStream.option("checkpointLocation", checkpoint).foreachBatch(add)

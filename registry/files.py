@@ -111,15 +111,23 @@ def reuse_or_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def append_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two appends and a compaction: the documents of one language, then all others."""
+    """A build of one language, three appends of the others, a compaction, a replay and one more append."""
     root = scratch_path(spark, "appended")
     docs = tables.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    english = F.coalesce(F.col("lang"), F.lit("")) == "en"
-    for part in (docs.where(english), docs.where(~english)):
+    lang = F.coalesce(F.col("lang"), F.lit(""))
+    parts = [lang == "en", lang == "de", lang == "fr", ~lang.isin("en", "de", "fr")]
+
+    def postings(part: DataFrame) -> DataFrame:
         tokens = part.select("doc_id", F.explode(tokens_of("text")).alias("term"))
-        postings = tokens.groupBy("term", "doc_id").agg(F.count("*").cast("double").alias("weight"))
-        index_store.append_documents(postings, part, root)
+        return tokens.groupBy("term", "doc_id").agg(F.count("*").cast("double").alias("weight"))
+
+    base = docs.where(parts[0])
+    index_store.write_postings(postings(base), base, root)
+    for number, chosen in enumerate(parts[1:3]):
+        index_store.append_documents(postings(docs.where(chosen)), docs.where(chosen), root, "batches", number)
     index_store.compact(spark, root)
+    for number, chosen in ((1, parts[2]), (2, parts[3])):
+        index_store.append_documents(postings(docs.where(chosen)), docs.where(chosen), root, "batches", number)
     return index_store.read_postings(spark, root)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 
 import numpy as np
 import pytest
@@ -89,13 +90,68 @@ def test_index_generations(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         I.read_postings(spark, root)
     I.write_postings(first, docs(spark, 0, 1), root)
-    assert I.append_documents(spark.createDataFrame([("a", 2, 3.0)], POSTING), docs(spark, 2), root) == 1
-    I.append_documents(spark.createDataFrame([("c", 3, 1.0)], POSTING), docs(spark, 3), root, batch=7)
-    I.append_documents(spark.createDataFrame([("c", 3, 4.0)], POSTING), docs(spark, 3), root, batch=7)
+    assert I.append_documents(spark.createDataFrame([("a", 2, 3.0)], POSTING), docs(spark, 2), root) == 0
+    late = spark.createDataFrame([("c", 3, 4.0)], POSTING)
+    assert I.append_documents(late, docs(spark, 3), root, epoch=7) == 7
+    assert I.append_documents(late, docs(spark, 3), root, epoch=7) == 7
     want = {("a", 0, 1.0), ("b", 0, 2.0), ("a", 2, 3.0), ("c", 3, 4.0)}
-    assert {tuple(r) for r in I.read_postings(spark, root).collect()} == want
+
+    def held():
+        rows = [tuple(r) for r in I.read_postings(spark, root).collect()]
+        assert len(rows) == len(set(rows))
+        return set(rows)
+
+    assert held() == want
+    with pytest.raises(ValueError, match="already"):
+        I.append_documents(late, docs(spark, 3), root, "other")
     assert I.compact(spark, root) == 1 and I.current_generation(spark, root) == 1
-    assert {tuple(r) for r in I.read_postings(spark, root).collect()} == want
+    assert held() == want
+    I.append_documents(late, docs(spark, 3), root, epoch=7)  # a replay after the compaction
+    assert held() == want
+    assert I.append_documents(spark.createDataFrame([("c", 4, 1.0)], POSTING), docs(spark, 4), root) == 8
+    assert held() == want | {("c", 4, 1.0)}
+    assert I.compact(spark, root) == 2 and held() == want | {("c", 4, 1.0)}
+    I.append_documents(late, docs(spark, 3), root, epoch=7)
+    assert held() == want | {("c", 4, 1.0)}
+    I.write_postings(first, docs(spark, 0, 1), root)
+    assert held() == {("a", 0, 1.0), ("b", 0, 2.0)}
+
+
+def test_index_without_a_build_and_half_appends(spark, tmp_path):
+    root = str(tmp_path / "index")
+    I.append_documents(spark.createDataFrame([("a", 2, 3.0)], POSTING), docs(spark, 2), root, "w", 5)
+    # Appends that died: only documents, or postings without their marker.
+    docs(spark, 8).write.parquet(f"{root}/batches/writer=w/epoch=6/docs")
+    docs(spark, 9).write.parquet(f"{root}/batches/writer=w/epoch=7/docs")
+    spark.createDataFrame([("z", 9, 1.0)], POSTING).write.parquet(f"{root}/batches/writer=w/epoch=7/postings")
+    os.remove(f"{root}/batches/writer=w/epoch=7/postings/_SUCCESS")
+    assert {tuple(r) for r in I.read_postings(spark, root).collect()} == {("a", 2, 3.0)}
+    assert {r.doc_id for r in I.read_indexed_docs(spark, root).collect()} == {2}
+    I.append_documents(spark.createDataFrame([("z", 9, 2.0)], POSTING), docs(spark, 9), root, "w", 7)
+    assert I.compact(spark, root) == 0
+    assert {tuple(r) for r in I.read_postings(spark, root).collect()} == {("a", 2, 3.0), ("z", 9, 2.0)}
+
+
+def test_append_made_during_a_compaction_stays(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "index")
+    I.write_postings(spark.createDataFrame([("a", 0, 1.0)], POSTING), docs(spark, 0), root)
+    plain = I._write
+
+    def meanwhile(postings, of, path):
+        if "/base/" in path:
+            monkeypatch.setattr(I, "_write", plain)
+            I.append_documents(spark.createDataFrame([("b", 1, 1.0)], POSTING), docs(spark, 1), root)
+        plain(postings, of, path)
+
+    monkeypatch.setattr(I, "_write", meanwhile)
+    I.compact(spark, root)
+    assert {tuple(r) for r in I.read_postings(spark, root).collect()} == {("a", 0, 1.0), ("b", 1, 1.0)}
+
+
+def test_index_stats(spark, tmp_path):
+    root = str(tmp_path / "index")
+    rows = [("a", 0, 1.0), ("b", 0, 2.0), ("a", 2, 3.0), ("c", 3, 4.0)]
+    I.write_postings(spark.createDataFrame(rows, POSTING), docs(spark, 0, 1, 2, 3), root)
     row = index_stats(I.read_postings(spark, root), I.read_indexed_docs(spark, root)).first()
     assert (row.n_docs, row.n_terms, row.avg_list_length) == (4, 3, pytest.approx(4 / 3))
 
@@ -126,15 +182,22 @@ def test_stream_appends_once(spark, tmp_path):
     rows = spark.createDataFrame([(0, "a b"), (1, "b")], "doc_id bigint, text string")
     rows.write.parquet(source)
     stream = spark.readStream.schema(rows.schema).parquet(source)
+    I.write_postings(spark.createDataFrame([("old", 9, 1.0)], POSTING), docs(spark, 9), root)
 
     def to_postings(batch):
         words = batch.select("doc_id", F.explode(F.split("text", " ")).alias("term"))
         return words.select("term", "doc_id", F.lit(1.0).alias("weight"))
 
+    def run(state):
+        append_stream(stream, to_postings, root, str(tmp_path / state)).trigger(availableNow=True).start().awaitTermination()
+
     for _ in range(2):
-        query = append_stream(stream, to_postings, root, str(tmp_path / "state")).trigger(availableNow=True).start()
-        query.awaitTermination()
-    assert {(r.term, r.doc_id) for r in I.read_postings(spark, root).collect()} == {("a", 0), ("b", 0), ("b", 1)}
+        run("state")
+    want = [("a", 0), ("b", 0), ("b", 1), ("old", 9)]
+    assert sorted((r.term, r.doc_id) for r in I.read_postings(spark, root).collect()) == want
+    with pytest.raises(Exception, match="already"):
+        run("state of another stream")
+    assert sorted((r.term, r.doc_id) for r in I.read_postings(spark, root).collect()) == want
 
 
 def test_measures_by_hand(spark):
