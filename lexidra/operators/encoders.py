@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from lexidra.functions.blocks import matrix, vector_column
 from lexidra.functions.vectors import array_sum, as_double, let
-from lexidra.session import arrow_if_small
+from lexidra.session import SHIP_BYTES, arrow_if_small
 
 HASH_DIM = 16
 # Weight of the token itself, of its direct neighbours and of the neighbours two places away.
@@ -30,6 +30,7 @@ CONTEXT_SCALE = 1024.0
 STATIC_SCALE = 128.0
 LAYER_NORM_EPS = 1e-5
 DECODE_STEP = 256
+ENCODE_BATCH = 128
 
 
 # --- token and text vectors ---------------------------------------------------------------
@@ -111,29 +112,35 @@ def hash_static_vectors(terms: DataFrame, term_col: str = "term") -> DataFrame:
     return hashed.select("term", F.array(*components).alias("vec"))
 
 
-def encode_tokens(tokenized: DataFrame, encoder: Callable[[list[list[str]]], list[np.ndarray]]) -> DataFrame:
+def encode_tokens(
+    tokenized: DataFrame, encoder: Callable[[list[list[str]]], list[np.ndarray]], batch_size: int = ENCODE_BATCH
+) -> DataFrame:
     """Contextual vectors from a plugged-in encoder: ``(doc_id, dl, pos, token, vec)``.
 
-    ``encoder`` receives the token lists of one Arrow batch of documents and returns one
+    ``encoder`` receives the token lists of at most ``batch_size`` documents and returns one
     matrix per document with one row per token.
     """
 
+    def encoded(batch: pd.DataFrame) -> pd.DataFrame:
+        lists = [list(tokens) for tokens in batch["tokens"]]
+        vectors = encoder(lists)
+        sizes = np.array([len(tokens) for tokens in lists], dtype=np.int64)
+        if [len(v) for v in vectors] != sizes.tolist():
+            raise ValueError("the encoder must return one vector per token")
+        return pd.DataFrame(
+            {
+                "doc_id": np.repeat(batch["doc_id"].to_numpy(), sizes),
+                "dl": np.repeat(sizes, sizes),
+                "pos": np.concatenate([np.arange(n) for n in sizes]) if len(sizes) else sizes,
+                "token": [token for tokens in lists for token in tokens],
+                "vec": [np.asarray(v, dtype=np.float64) for doc_vectors in vectors for v in doc_vectors],
+            }
+        )
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            lists = [list(tokens) for tokens in batch["tokens"]]
-            vectors = encoder(lists)
-            sizes = np.array([len(tokens) for tokens in lists], dtype=np.int64)
-            if [len(v) for v in vectors] != sizes.tolist():
-                raise ValueError("the encoder must return one vector per token")
-            yield pd.DataFrame(
-                {
-                    "doc_id": np.repeat(batch["doc_id"].to_numpy(), sizes),
-                    "dl": np.repeat(sizes, sizes),
-                    "pos": np.concatenate([np.arange(n) for n in sizes]) if len(sizes) else sizes,
-                    "token": [token for tokens in lists for token in tokens],
-                    "vec": [np.asarray(v, dtype=np.float64) for doc_vectors in vectors for v in doc_vectors],
-                }
-            )
+        for whole in batches:
+            for start in range(0, len(whole), batch_size):
+                yield encoded(whole.iloc[start : start + batch_size])
 
     id_type = tokenized.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, dl bigint, pos bigint, token string, vec array<double>"
@@ -141,14 +148,20 @@ def encode_tokens(tokenized: DataFrame, encoder: Callable[[list[list[str]]], lis
 
 
 def encode_texts(
-    docs: DataFrame, encode_fun: Callable[[list[str]], np.ndarray], id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    encode_fun: Callable[[list[str]], np.ndarray],
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    batch_size: int = ENCODE_BATCH,
 ) -> DataFrame:
-    """``(id, vec)`` from a function that maps a batch of texts to a matrix."""
+    """``(id, vec)`` from a function that maps at most ``batch_size`` texts at a time to a matrix."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            vectors = np.asarray(encode_fun(list(batch[text_col])), dtype=np.float64)
-            yield pd.DataFrame({id_col: batch[id_col], "vec": list(vectors)})
+        for whole in batches:
+            for start in range(0, len(whole), batch_size):
+                batch = whole.iloc[start : start + batch_size]
+                vectors = np.asarray(encode_fun(list(batch[text_col])), dtype=np.float64)
+                yield pd.DataFrame({id_col: batch[id_col].to_numpy(), "vec": list(vectors)})
 
     id_type = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInPandas(run, f"{id_col} {id_type}, vec array<double>")
@@ -212,63 +225,90 @@ def _activate_column(x: Column, kind: str, slope: float) -> Column:
     return x
 
 
-def _dense(layer: Layer) -> tuple[np.ndarray, np.ndarray] | None:
-    """The layer as matrix and bias when it is small enough to ship."""
-    table = arrow_if_small(layer.weights.select("out", "inp", F.col("w").cast("double").alias("w")), 24)
-    if table is None:
+def _tidy(layer: Layer) -> tuple[DataFrame, DataFrame | None, int, int]:
+    """Weights and biases with repeated rows added up, and the numbers of outputs and inputs.
+
+    Outputs are numbered from 0 to the largest one that has a weight or a bias; what is not
+    listed is zero.
+    """
+    weights = layer.weights.groupBy("out", "inp").agg(F.sum(F.col("w").cast("double")).alias("w"))
+    bias = None if layer.bias is None else layer.bias.groupBy("out").agg(F.sum(F.col("b").cast("double")).alias("b"))
+    outs, inps = layer.weights.agg(F.max("out"), F.max("inp")).first()
+    if bias is not None:
+        outs = max((x for x in (outs, layer.bias.agg(F.max("out")).first()[0]) if x is not None), default=None)
+    return weights, bias, -1 if outs is None else int(outs), -1 if inps is None else int(inps)
+
+
+def _dense(weights: DataFrame, bias: DataFrame | None, outs: int, inps: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """The layer as matrix and bias when the matrix is small enough to ship."""
+    if (outs + 1) * (inps + 2) * 8 > SHIP_BYTES:
         return None
-    out, inp = table["out"].to_numpy(), table["inp"].to_numpy()
-    weights = np.zeros((int(out.max()) + 1, int(inp.max()) + 1))
-    weights[out, inp] = table["w"].to_numpy()
-    bias = np.zeros(len(weights))
-    if layer.bias is not None:
-        terms = arrow_if_small(layer.bias.select("out", F.col("b").cast("double").alias("b")), 16)
-        if terms is None:
-            return None
-        bias[terms["out"].to_numpy()] = terms["b"].to_numpy()
-    return weights, bias
-
-
-def _apply_joined(df: DataFrame, layer: Layer, id_col: str, vec_col: str) -> DataFrame:
+    table = weights.select("out", "inp", "w").toArrow()
+    matrix_of = np.zeros((outs + 1, inps + 1))
+    matrix_of[table["out"].to_numpy(), table["inp"].to_numpy()] = table["w"].to_numpy()
+    constant = np.zeros(outs + 1)
+    if bias is not None:
+        terms = bias.select("out", "b").toArrow()
+        constant[terms["out"].to_numpy()] = terms["b"].to_numpy()
+    return matrix_of, constant
+
+
+def _apply_joined(
+    df: DataFrame, weights: DataFrame, bias: DataFrame | None, outs: int, layer: Layer, id_col: str, vec_col: str
+) -> DataFrame:
     """One layer as a relation: join on the input dimension, sum per output, restore the array."""
-    weights = layer.weights.select("out", "inp", F.col("w").cast("double").alias("w"))
     long = df.select(id_col, F.posexplode(as_double(vec_col)).alias("inp", "x"))
-    products = long.join(weights, "inp").groupBy(id_col, "out").agg(F.sum(F.col("x") * F.col("w")).alias("y"))
-    if layer.bias is not None:
-        products = products.join(layer.bias, "out").withColumn("y", F.col("y") + F.col("b"))
-    active = products.withColumn("y", _activate_column(F.col("y"), layer.activation, layer.slope))
+    products = long.join(weights, "inp").select(id_col, "out", (F.col("x") * F.col("w")).alias("y"))
+    # Every output of every row once more, so that those without a weight are there.
+    places = F.sequence(F.lit(0).cast("long"), F.lit(outs).cast("long")) if outs >= 0 else F.array().cast("array<bigint>")
+    nothing = df.select(id_col, F.explode(places).alias("out"), F.lit(0.0).alias("y"))
+    sums = products.unionByName(nothing).groupBy(id_col, "out").agg(F.sum("y").alias("y"))
+    if bias is not None:
+        sums = sums.join(bias, "out", "left").withColumn("y", F.col("y") + F.coalesce("b", F.lit(0.0)))
+    active = sums.withColumn("y", _activate_column(F.col("y"), layer.activation, layer.slope))
     ordered = F.array_sort(F.collect_list(F.struct("out", "y")))
     rebuilt = active.groupBy(id_col).agg(ordered.alias("pairs")).select(id_col, F.col("pairs.y").alias("_y"))
-    return df.join(rebuilt, id_col).withColumn(vec_col, F.col("_y")).drop("_y")
+    joined = df.join(rebuilt, id_col, "left")
+    return joined.withColumn(vec_col, F.coalesce("_y", F.array().cast("array<double>"))).drop("_y").select(df.columns)
+
+
+def _fitted(x: np.ndarray, width: int) -> np.ndarray:
+    """``x`` with ``width`` columns: further ones have no weight, missing ones are zero."""
+    if x.shape[1] >= width:
+        return x[:, :width]
+    return np.hstack([x, np.zeros((len(x), width - x.shape[1]))])
 
 
 def apply_layers(df: DataFrame, layers: list[Layer], id_col: str = "vec_id", vec_col: str = "vec") -> DataFrame:
     """Replace ``vec_col`` by the output of the layers.
 
-    Model weights that fit the shipping bound travel to the tasks and all layers run on one
-    pass over Arrow batches; larger weights are joined layer by layer.
+    A layer has the outputs 0 to its largest one; weights and biases that are not listed are
+    zero, repeated ones add up, and inputs without a weight are ignored.  Layers whose matrix
+    fits the shipping bound travel to the tasks and run there on fixed steps of rows; a larger
+    one is joined, with the same meaning.
     """
-    dense = [_dense(layer) for layer in layers]
+    tidy = [_tidy(layer) for layer in layers]
+    dense = [_dense(*t) for t in tidy]
     df = df.withColumn(vec_col, as_double(vec_col))
     if any(d is None for d in dense):
-        for layer in layers:
-            df = _apply_joined(df, layer, id_col, vec_col)
+        for layer, (weights, bias, outs, _) in zip(layers, tidy, strict=True):
+            df = _apply_joined(df, weights, bias, outs, layer, id_col, vec_col)
         return df
     shared = df.sparkSession.sparkContext.broadcast(
-        [(w, b, layer.activation, layer.slope) for (w, b), layer in zip(dense, layers)]
+        [(w, b, layer.activation, layer.slope) for (w, b), layer in zip(dense, layers, strict=True)]
     )
     place = df.columns.index(vec_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            x = matrix(batch.column(place))
-            for weights, bias, kind, slope in shared.value:
-                x = _activate(x @ weights.T + bias, kind, slope)
-            columns = list(batch.columns)
-            columns[place] = vector_column(x)
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+        for whole in batches:
+            for start in range(0, whole.num_rows, DECODE_STEP):
+                batch = whole.slice(start, DECODE_STEP)
+                x = matrix(batch.column(place))
+                for weights, bias, kind, slope in shared.value:
+                    x = _activate(_fitted(x, weights.shape[1]) @ weights.T + bias, kind, slope)
+                columns = list(batch.columns)
+                columns[place] = vector_column(x)
+                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     return df.mapInArrow(run, df.schema)
 
@@ -322,14 +362,17 @@ def linear_decode(
 ) -> DataFrame:
     """``(id, vec)`` reconstructed from postings ``(id, dim, weight)``: ``z . D + pre_bias``.
 
-    ``decoder(latent, vec)`` may be tied or not.  Only nonzero latents take part.  A document
-    without latents yields the bias.  ``info(id, mu, std)`` undoes layer norm.  A decoder within
+    ``decoder(latent, vec)`` may be tied or not.  Only nonzero latents take part; repeated ones
+    and repeated rows of the decoder add up, latents without a decoder row are ignored.  A
+    document without latents yields the bias.  ``info(id, mu, std)`` undoes layer norm.  A decoder within
     the shipping bound is multiplied inside the tasks, a larger one is joined.
     """
     rows = latents.select(id_col, F.col("dim").alias("latent"), F.col("weight").cast("double").alias("weight"))
     rows = docs.select(id_col).join(rows, id_col, "left")
     model = decoder.select("latent", as_double("vec").alias("vec"))
-    table = arrow_if_small(model, 8 * dim + 8)
+    rows_held = (model.agg(F.max("latent")).first()[0] or 0) + 1
+    small = rows_held * dim * 8 <= SHIP_BYTES
+    table = arrow_if_small(model, 8 * dim + 8) if small else None
     decoded = _decode_joined(rows, model, id_col, dim) if table is None else _decode_shipped(rows, table, id_col, dim)
     shifted = decoded.withColumn("_pre", packed_vector(pre_bias, "dim", "b"))
     plain = shifted.select(id_col, F.zip_with("vec", "_pre", lambda a, b: a + b).alias("vec"))
@@ -340,10 +383,11 @@ def linear_decode(
 
 
 def _decode_shipped(rows: DataFrame, table: pa.Table, id_col: str, dim: int) -> DataFrame:
-    """The active latents of a document, at most one per decoder row, meet in one row and are multiplied there."""
+    """The active latents of a document meet in one row and are multiplied there."""
     latent = table["latent"].to_numpy()
     dense = np.zeros((int(latent.max()) + 1 if len(latent) else 0, dim))
-    dense[latent] = matrix(table["vec"])
+    if len(latent):
+        np.add.at(dense, latent, matrix(table["vec"]))
     shared = rows.sparkSession.sparkContext.broadcast(dense)
     active = F.when(F.col("latent").isNotNull(), F.struct("latent", "weight"))
     packed = rows.groupBy(id_col).agg(F.collect_list(active).alias("z"))
@@ -356,7 +400,9 @@ def _decode_shipped(rows: DataFrame, table: pa.Table, id_col: str, dim: int) ->
                 z = np.zeros((part.num_rows, len(shared.value)))
                 sizes = pc.list_value_length(part.column("latents")).to_numpy()
                 row = np.repeat(np.arange(part.num_rows), sizes)
-                z[row, part.column("latents").flatten().to_numpy()] = part.column("weights").flatten().to_numpy()
+                place = part.column("latents").flatten().to_numpy().astype(np.int64)
+                held = (place >= 0) & (place < len(shared.value))
+                np.add.at(z, (row[held], place[held]), part.column("weights").flatten().to_numpy()[held])
                 yield pa.RecordBatch.from_arrays([part.column(id_col), vector_column(z @ shared.value)], names=[id_col, "vec"])
 
     kind = rows.schema[id_col].dataType.simpleString()
@@ -392,6 +438,19 @@ def mlp_score(
     return apply_layers(df, chain, id_col, vec_col)
 
 
+def mlp_variance(
+    df: DataFrame,
+    layers: list[tuple[DataFrame, DataFrame]],
+    activation: str = "none",
+    slope: float = 0.1,
+    id_col: str = "vec_id",
+    vec_col: str = "vec",
+) -> DataFrame:
+    """The same for a net whose output is the logarithm of a variance: the variances."""
+    scored = mlp_score(df, layers, activation, slope, id_col, vec_col)
+    return scored.withColumn(vec_col, F.transform(vec_col, lambda x: F.exp(x)))
+
+
 # --- sampling -----------------------------------------------------------------------------
 
 
@@ -401,12 +460,21 @@ def _uniform(*parts: Column) -> Column:
     return (F.conv(F.substr(digest, F.lit(1), F.lit(13)), 16, 10).cast("double") + F.lit(0.5)) / F.lit(2.0**52)
 
 
+def _noise(seed: int, row: Column, dim: Column) -> Column:
+    """A standard normal number that is a function of seed, row and dimension."""
+    u1, u2 = _uniform(F.lit(seed), F.lit("r"), row, dim), _uniform(F.lit(seed), F.lit("a"), row, dim)
+    return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2.0 * np.pi) * u2)
+
+
+def sampled_vector(row: Column, mu: Column, variance: Column, seed: int = 0) -> Column:
+    """``mu + eps * sqrt(variance)`` for arrays, inside the row; ``row`` names it for the noise."""
+    pairs = F.zip_with(mu, variance, lambda m, v: F.struct(m.alias("m"), v.alias("v")))
+    return F.transform(pairs, lambda p, i: p["m"] + _noise(seed, row, i.cast("bigint")) * F.sqrt(p["v"]))
+
+
 def gaussian_sample(rows: DataFrame, seed: int = 0, id_col: str = "vec_id", dim_col: str = "dim") -> DataFrame:
     """Add ``z = mu + eps * sqrt(v)`` to ``(id, dim, mu, v)`` with standard normal ``eps``.
 
     The noise is a function of seed, id and dimension, so a recomputed task repeats its draw.
     """
-    u1 = _uniform(F.lit(seed), F.lit("r"), F.col(id_col), F.col(dim_col))
-    u2 = _uniform(F.lit(seed), F.lit("a"), F.col(id_col), F.col(dim_col))
-    eps = F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2.0 * np.pi) * u2)
-    return rows.withColumn("z", F.col("mu") + eps * F.sqrt("v"))
+    return rows.withColumn("z", F.col("mu") + _noise(seed, F.col(id_col), F.col(dim_col)) * F.sqrt("v"))

@@ -81,8 +81,16 @@ def batch_id(df: DataFrame, order_col: str, size: int, name: str = "batch_id") -
 
 
 def first_rows(df: DataFrame, order_col: str, n: int) -> DataFrame:
-    """The first ``n`` rows in the order of ``order_col``, found without a single-task sort."""
-    return with_ordinal(df, order_col, "_ordinal").where(F.col("_ordinal") < n).drop("_ordinal")
+    """The first ``n`` rows in the order of the unique column ``order_col``.
+
+    Only the keys are numbered; the rows themselves are then filtered by the n-th key where
+    they are read.
+    """
+    if n < 1:
+        return df.limit(0)
+    keys = with_ordinal(df.select(order_col), order_col, "_ordinal")
+    last = keys.where(F.col("_ordinal") == n - 1).select(order_col).first()
+    return df if last is None else df.where(F.col(order_col) <= F.lit(last[0]))
 
 
 def name_clusters(centroids: DataFrame, token: str = "token", cluster: str = "cluster") -> DataFrame:

@@ -10,6 +10,9 @@ from lexidra.operators.postings import MAX_QUERY_WEIGHT, check_query_weights, pr
 from lexidra.operators.ranking import DEFAULT_TOP_K, rank_topk, with_ordinal
 from lexidra.session import cut_lineage
 
+# Document ordinals listed in one row at most.
+ORDINALS = 10_000
+
 
 def score_matches(query_terms: DataFrame, postings: DataFrame) -> DataFrame:
     """``(query_id, doc_id, score, matched, n_terms)`` over all common terms.
@@ -102,8 +105,14 @@ def weighted_sum_all_docs(
         .join(per_query, "query_id", "left")
         .fillna(0)
         .where(F.col("positive") < k)
-        .select("query_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("matched") + F.lit(k - 1))).alias("ordinal"))
     )
+    # The ordinals in chunks, so that no row holds a list as long as the corpus.
+    wanted = F.col("matched") + F.lit(k - 1)
+    chunks = short.withColumn("wanted", wanted).withColumn(
+        "chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("wanted") / F.lit(ORDINALS)).cast("bigint")))
+    )
+    first, last = F.col("chunk") * ORDINALS, F.least(F.col("chunk") * ORDINALS + F.lit(ORDINALS - 1), F.col("wanted"))
+    short = chunks.select("query_id", F.explode(F.sequence(first, last)).alias("ordinal"))
     fill = (
         short.join(with_ordinal(docs.select("doc_id"), "doc_id"), "ordinal")
         .join(scored.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")

@@ -59,11 +59,10 @@ def fill_cores(df: DataFrame, key: str) -> DataFrame:
 def arrow_if_small(df: DataFrame, row_bytes: int, max_bytes: int = SHIP_BYTES) -> pa.Table | None:
     """``df`` as an Arrow table when at most ``max_bytes // row_bytes`` rows exist, otherwise None.
 
-    The rows are counted first, without their columns and partition by partition, so a large
-    input is given up after the first partitions that exceed the bound.
+    The rows are counted first, on the executors and no further than one row above the bound.
     """
     bound = max(1, max_bytes // max(1, row_bytes))
-    counted = len(df.select(F.lit(1).alias("one")).take(bound + 1))
+    counted = df.select(F.lit(1).alias("one")).limit(bound + 1).count()
     return df.toArrow() if counted <= bound else None
 
 

@@ -11,8 +11,10 @@ from lexidra.operators.postings import topk_activation as activate
 from lexidra.operators.ranking import batch_id
 from lexidra.plans.latent import ACTIVE, LATENTS, LinearModel, encode_sparse
 from lexidra.plans.latent import latent_search as search_latents
+from lexidra.plans.variational import VariationalModel
+from lexidra.plans.variational import variational_search as search_sampled
 from registry import tables
-from registry.sql import LABEL_QUERIES, VECTORS, score_sum, topk
+from registry.sql import LABEL_QUERIES, VECTORS, score_sum, snap, topk
 from registry.sql import report as sql_report
 
 DIM = tables.VEC_DIM
@@ -20,6 +22,8 @@ HIDDEN = 32
 OUT = 16
 BATCH = 100
 ALPHA = 1.0
+LABELS = 10
+SAMPLED_QUANTILE = 0.3
 
 
 def _digest_weight(scale: float, *parts: Column | str) -> Column:
@@ -139,6 +143,23 @@ def mlp_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.components(out, "vec_id").withColumn("value", report("value"))
 
 
+def variational_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole variational method: label means as centroids and as queries, the ten best vectors of each."""
+    wide = DIM + LABELS
+    nets = {
+        tag: [
+            (_grid(spark, HIDDEN, wide, f"{tag}0", 128.0), _bias(spark, HIDDEN, f"{tag}c", 128.0)),
+            (_grid(spark, OUT, HIDDEN, f"{tag}1", 1024.0), _bias(spark, OUT, f"{tag}d", 128.0)),
+        ]
+        for tag in ("g", "v")
+    }
+    means = tables.label_queries(spark, sf_dir)
+    chosen = VariationalModel(means.withColumnRenamed("query_id", "cluster"), nets["g"], nets["v"])
+    docs = tables.vectors(spark, sf_dir).select(F.col("vec_id").alias("doc_id"), "vec")
+    run = search_sampled(docs, means, chosen, SAMPLED_QUANTILE, seed=7, k=10)
+    return run.select("query_id", "doc_id", report("score").alias("score"), "rank")
+
+
 def _gaussians(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component value, label mean and a positive variance per (vector, dimension)."""
     rows = tables.vectors(spark, sf_dir)
@@ -181,6 +202,7 @@ QUERIES = {
     "latent_staleness": latent_staleness,
     "layer_norm": layer_norm,
     "mlp_score": mlp_score,
+    "variational_search": variational_search,
     "diag_gaussian_logpdf": diag_gaussian_logpdf,
     "gaussian_sample": gaussian_sample,
     "epoch_means": epoch_means,
@@ -231,11 +253,33 @@ _GAUSS = f"""{LABEL_QUERIES}, g AS MATERIALIZED (SELECT x.vec_id, x.dim, x.x, lq
     FROM x JOIN lq ON lq.query_id = x.label AND lq.dim = x.dim)"""
 
 
-def _uniform_sql(tag: str) -> str:
-    return f"((('0x' || substr(md5('7:{tag}:' || vec_id || ':' || dim), 1, 13))::BIGINT)::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE"
+def _uniform_sql(tag: str, row: str = "vec_id") -> str:
+    return f"((('0x' || substr(md5('7:{tag}:' || {row} || ':' || dim), 1, 13))::BIGINT)::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE"
+
+
+def _sampled_sql(source: str, name: str) -> str:
+    """CTEs ending in ``{name}z(vec_id, dim, weight)``, the postings of ``source(vec_id, dim, x)``."""
+    lrelu = "CASE WHEN {0} > 0 THEN {0} ELSE 0.1::DOUBLE * {0} END"
+    wide, nets = DIM + LABELS, []
+    for tag, head in (("g", "{}"), ("v", "exp({})")):
+        first = _layer_sql(f"{name}u", _grid_sql(HIDDEN, wide, f"{tag}0", "128.0"), _bias_sql(HIDDEN, f"{tag}c", "128.0"), f"{name}{tag}0", lrelu)
+        nets += [first, _layer_sql(f"{name}{tag}0", _grid_sql(OUT, HIDDEN, f"{tag}1", "1024.0"), _bias_sql(OUT, f"{tag}d", "128.0"), f"{name}{tag}", head)]
+    noise = f"sqrt(-2.0::DOUBLE * ln({_uniform_sql('r')})) * cos(2.0::DOUBLE * pi() * {_uniform_sql('a')})"
+    return f"""{name}n AS MATERIALIZED (SELECT s.vec_id, lq.query_id AS label FROM {source} s JOIN lq ON lq.dim = s.dim GROUP BY s.vec_id, lq.query_id
+          QUALIFY row_number() OVER (PARTITION BY s.vec_id ORDER BY {snap('sum((lq.x - s.x) * (lq.x - s.x))')}, lq.query_id) = 1),
+      {name}u AS MATERIALIZED (SELECT vec_id, dim, x FROM {source} UNION ALL SELECT vec_id, {DIM} + label, 1.0 FROM {name}n),
+      {', '.join(nets)},
+      {name}s AS MATERIALIZED (SELECT vec_id, dim, m.x + {noise} * sqrt(v.x) AS z FROM {name}g m JOIN {name}v v USING (vec_id, dim)),
+      {name}q AS (SELECT vec_id, quantile_cont(z, {SAMPLED_QUANTILE}) AS lo, quantile_cont(z, {1 - SAMPLED_QUANTILE}) AS hi FROM {name}s GROUP BY vec_id),
+      {name}z AS MATERIALIZED (SELECT vec_id, dim, z AS weight FROM {name}s JOIN {name}q USING (vec_id) WHERE (z <= lo OR z >= hi) AND z <> 0)"""
 
 
 ORACLE = {
+    "variational_search": f"""WITH {LABEL_QUERIES}, means AS (SELECT CAST(query_id AS BIGINT) AS vec_id, dim, x FROM lq),
+        {_sampled_sql('x', 'doc_')}, {_sampled_sql('means', 'query_')},
+        sc AS (SELECT j.vec_id AS query_id, i.vec_id AS doc_id, {score_sum('j.weight * i.weight')} AS score
+          FROM query_z j JOIN doc_z i ON i.dim = j.dim GROUP BY ALL)
+        SELECT query_id, doc_id, {sql_report('score')} AS score, rank FROM {topk('sc', 10)}""",
     "linear_encode": f"WITH {_ENCODED} SELECT vec_id, dim, {sql_report('z')} AS value FROM xe",
     "topk_activation": f"WITH {_ENCODED} SELECT vec_id, dim, 'term_' || dim AS term, {sql_report('weight')} AS weight FROM xp",
     "latent_search": f"""WITH {_ENCODED}, {_encode_sql('lq', 'q', 'query_id')},

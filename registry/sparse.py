@@ -21,6 +21,7 @@ from registry.sql import QTERMS, TF, TOKENS, VECTORS, score_sum, tokens_of, topk
 from registry.sql import report as sql_report
 
 DEPTH = 1000
+SHORT = 10
 MATCH_RATIO = 0.5
 QUANTILE = 0.1
 ABS_LIMIT = 0.05
@@ -91,9 +92,31 @@ def weighted_sum_all_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def all_docs_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of all documents in the clamped form."""
+    terms = query_term_counts(tables.queries(spark, sf_dir))
+    docs, postings = tables.corpus(spark, sf_dir), tables.tf_postings(spark, sf_dir)
+    return S.weighted_sum_all_docs(terms, postings, docs, SHORT, clamp_negative=True)
+
+
+def sparse_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.sparse_dot_search(_heavy_terms(spark, sf_dir), tables.tf_postings(spark, sf_dir), SHORT)
+
+
+def splade_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pooled queries against pooled documents, the ten best of each."""
+    items = tables.queries(spark, sf_dir).select(F.col("query_id").alias("doc_id"), "text")
+    terms = splade(_token_logits(tokenize(items))).withColumnRenamed("doc_id", "query_id")
+    run = S.sparse_dot_search(terms, splade(_logits(spark, sf_dir)), SHORT)
+    return run.withColumn("score", report("score"))
+
+
 def _logits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _token_logits(tokenize(tables.corpus(spark, sf_dir)))
+
+
+def _token_logits(tokens: DataFrame) -> DataFrame:
     """Stand-in logits: a function of token length and place; some short tokens score at or below 0."""
-    tokens = tokenize(tables.corpus(spark, sf_dir))
     length = F.length("token").cast("double")
     return tokens.select(
         "doc_id", "pos", F.col("token").alias("term"), (length / F.lit(4.0) - F.lit(0.5) + F.col("pos") % 7).alias("logit")
@@ -131,7 +154,10 @@ QUERIES = {
     "min_should_match": min_should_match,
     "unweighted_search": unweighted_search,
     "weighted_sum_all_docs": weighted_sum_all_docs,
+    "all_docs_top10": all_docs_top10,
+    "sparse_top10": sparse_top10,
     "splade_pooling": splade_pooling,
+    "splade_search": splade_search,
     "sparta_pooling": sparta_pooling,
     "token_bag_search": token_bag_search,
 }
@@ -189,6 +215,10 @@ _SPARTA = f"""{DOC_VECTORS},
         (SELECT doc_id, term, floor(top * 1e9 + 0.5) / 1e9 AS score FROM best) WHERE score > 0
         QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) <= 2000)"""
 
+_SPLADE = """SELECT doc_id, term, ln(1.0::DOUBLE + max(logit)) AS weight FROM
+    (SELECT doc_id, token AS term, length(token)::DOUBLE / 4.0::DOUBLE - 0.5::DOUBLE + pos % 7 AS logit FROM {})
+    WHERE logit > 0 GROUP BY doc_id, term"""
+
 ORACLE = {
     "to_sparse": f"WITH {VECTORS} SELECT vec_id, dim, 'term_' || dim AS term, x AS weight FROM x WHERE x <> 0",
     "term_name": "SELECT DISTINCT CAST(label AS BIGINT) AS label, 'term_' || label AS term FROM embeddings",
@@ -205,6 +235,13 @@ ORACLE = {
     "min_should_match": f"WITH {TF}, {_HEAVY} SELECT query_id, doc_id, score, rank FROM {topk(_scored('pq.weight', _ENOUGH), DEPTH)}",
     "unweighted_search": f"WITH {TF}, {_HEAVY} SELECT query_id, doc_id, score, rank FROM {topk(_scored('1.0::DOUBLE'), DEPTH)}",
     "weighted_sum_all_docs": f"WITH {TF}, {QTERMS} SELECT query_id, doc_id, score, rank FROM {topk(_ALL_DOCS, DEPTH)}",
+    "all_docs_top10": f"WITH {TF}, {QTERMS} SELECT query_id, doc_id, score, rank FROM {topk(_ALL_DOCS, SHORT)}",
+    "sparse_top10": f"WITH {TF}, {_HEAVY} SELECT query_id, doc_id, score, rank FROM {topk(_scored('pq.weight'), SHORT)}",
+    "splade_search": f"""WITH {TOKENS}, qd AS MATERIALIZED (SELECT item_id AS doc_id, {tokens_of('text')} AS toks FROM benchmark),
+        qtok AS (SELECT doc_id, unnest(toks) AS token, generate_subscripts(toks, 1) - 1 AS pos FROM qd),
+        dp AS MATERIALIZED ({_SPLADE.format('tok')}), qp AS MATERIALIZED ({_SPLADE.format('qtok')}),
+        sc AS (SELECT qp.doc_id AS query_id, dp.doc_id, {score_sum('qp.weight * dp.weight')} AS score FROM qp JOIN dp USING (term) GROUP BY ALL)
+        SELECT query_id, doc_id, {sql_report('score')} AS score, rank FROM {topk('sc', SHORT)}""",
     "splade_pooling": f"""WITH {TOKENS} SELECT doc_id, term, {sql_report('ln(1.0::DOUBLE + max(logit))')} AS weight FROM
         (SELECT doc_id, token AS term, length(token)::DOUBLE / 4.0::DOUBLE - 0.5::DOUBLE + pos % 7 AS logit FROM tok)
         WHERE logit > 0 GROUP BY doc_id, term""",
