@@ -226,7 +226,7 @@ def brute_lines(rows):
     bits, root = np.array(prints, dtype=np.uint64), np.arange(len(classes))
     for k in range(len(classes)):
         for j in np.flatnonzero(np.bitwise_count(bits ^ bits[k]) <= 3):
-            x, y = " ".join(classes[k]), " ".join(classes[j])
+            x, y = classes[k], classes[j]
             if j > k and edits(x, y) <= int(max(len(x), len(y)) * 0.1 + 1e-9):
                 root = simhash.unite(root, np.array([k]), np.array([j]))
     first, gone = {}, set()
