@@ -132,6 +132,13 @@ def _sparta_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sparta(text_token_vectors(tables.corpus(spark, sf_dir)), hash_static_vectors(words))
 
 
+def sparta_whole_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages against every word of the documents, so that the cut at 2000 terms binds."""
+    words = tokenize(tables.corpus(spark, sf_dir)).select(F.col("token").alias("term")).distinct()
+    passages = text_token_vectors(tables.queries(spark, sf_dir), "query_id")
+    return sparta(passages, hash_static_vectors(words)).withColumn("weight", report("weight"))
+
+
 def sparta_pooling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sparta_postings(spark, sf_dir).withColumn("weight", report("weight"))
 
@@ -159,6 +166,7 @@ QUERIES = {
     "splade_pooling": splade_pooling,
     "splade_search": splade_search,
     "sparta_pooling": sparta_pooling,
+    "sparta_whole_vocabulary": sparta_whole_vocabulary,
     "token_bag_search": token_bag_search,
 }
 
@@ -246,6 +254,14 @@ ORACLE = {
         (SELECT doc_id, token AS term, length(token)::DOUBLE / 4.0::DOUBLE - 0.5::DOUBLE + pos % 7 AS logit FROM tok)
         WHERE logit > 0 GROUP BY doc_id, term""",
     "sparta_pooling": f"WITH {_SPARTA} SELECT doc_id, term, {sql_report('weight')} AS weight FROM sp",
+    "sparta_whole_vocabulary": f"""WITH {ITEM_VECTORS},
+        words AS (SELECT DISTINCT unnest({tokens_of('text')}) AS token FROM documents),
+        vocab AS MATERIALIZED (SELECT token AS term, {hash_bytes('token')} FROM words),
+        best AS (SELECT doc_id, term, max({' + '.join(f'v{i} * (b{i}::DOUBLE / 128.0::DOUBLE)' for i in range(16))}) AS top
+          FROM qv, vocab GROUP BY doc_id, term)
+        SELECT doc_id, term, {sql_report('ln(1.0::DOUBLE + score)')} AS weight FROM
+          (SELECT doc_id, term, floor(top * 1e9 + 0.5) / 1e9 AS score FROM best) WHERE score > 0
+          QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, term) <= 2000""",
     "token_bag_search": f"""WITH {_SPARTA}, {QTERMS},
         sc AS (SELECT query_id, doc_id, {score_sum('qt.weight * sp.weight')} AS score FROM qt JOIN sp USING (term) GROUP BY ALL)
         SELECT query_id, doc_id, {sql_report('score')} AS score, rank FROM {topk('sc', DEPTH)}""",
