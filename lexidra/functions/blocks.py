@@ -25,7 +25,10 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 def list_column(values: pa.Array, sizes: np.ndarray) -> pa.ListArray:
     """Cut ``values`` into consecutive lists of the given sizes."""
-    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    if offsets[-1] > np.iinfo(np.int32).max:
+        raise OverflowError("too many values for one list column")
+    offsets = offsets.astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), values)
 
 

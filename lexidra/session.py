@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 # A table is handed to every task only when its rows, counted, fit in this many bytes.
 SHIP_BYTES = 64 * 1024 * 1024
+# An input of at least so many partitions is left where it is, whatever the number of cores.
+FEW_PARTITIONS = 16
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,13 +49,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def fill_cores(df: DataFrame, key: str) -> DataFrame:
-    """Spread an input that arrives in fewer partitions than there are cores.
+    """Spread an input that arrives in a handful of partitions over the cores.
 
-    A few small files would otherwise be expanded by a few tasks.  Inputs that already
-    have a partition per core, which is every large one, are left where they are.
+    A few small files would otherwise be expanded by a few tasks.  Only inputs of fewer than
+    ``FEW_PARTITIONS`` splits, so of bounded size, are ever shuffled for that.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    wanted = min(df.sparkSession.sparkContext.defaultParallelism, FEW_PARTITIONS)
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, key)
 
 
 def arrow_if_small(df: DataFrame, row_bytes: int, max_bytes: int = SHIP_BYTES) -> pa.Table | None:
