@@ -22,7 +22,7 @@ WEIGHTS = (1, 2, 3)
 REPEATS = 3
 BLOCK = 64
 LEAST_BLOCKS = 10_000
-SHARD_WORDS = 1 << 22
+SHARD_WORDS = 1 << 18
 SEED = 7
 WORD = r"[^\x20\x09-\x0D]+"
 PROBES = 32

@@ -105,7 +105,7 @@ ORACLE: dict[str, str] = {
         b AS (SELECT greatest(1, least(64, CAST(sum(source_size) AS BIGINT) // 10000)) AS block,
             CAST(sum(source_size) AS BIGINT) AS total FROM t),
         k AS MATERIALIZED (SELECT d.*, source_size, target, CAST(('0x' || substr(key, 1, 8)) AS BIGINT)
-            % greatest(1, CAST(ceil(source_size / 4194304) AS BIGINT)) AS shard
+            % greatest(1, CAST(ceil(source_size / 262144) AS BIGINT)) AS shard
             FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
         c AS MATERIALIZED (SELECT source, shard, CAST(sum(size) AS BIGINT) AS words,
             any_value(target) * CAST(sum(size) AS BIGINT) / any_value(source_size) AS votes
