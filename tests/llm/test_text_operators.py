@@ -275,6 +275,20 @@ def test_line_dedup_of_a_large_group(spark, monkeypatch):
     assert len([i for i in left if i < 1000]) <= 3 and 0 in left
 
 
+def test_line_dedup_of_mixed_families(spark):
+    """Families of near copies of the same words, so that all meet under the same keys; one line of each stays."""
+    pick, words, rows = np.random.default_rng(3), prose(6, 40).split(), []
+    for family in range(12):
+        order = [words[k] for k in pick.permutation(40)]
+        rows.append((family, " ".join(order)))
+        for k in pick.permutation(39)[:25].tolist():
+            rows.append((family, " ".join([*order[:k], order[k + 1], order[k], *order[k + 2 :]])))
+    rows = [(i, *rows[k]) for i, k in enumerate(pick.permutation(len(rows)).tolist())]
+    docs = spark.createDataFrame(rows, "doc_id long, family long, text string").repartition(8)
+    left = {r.doc_id for r in line_dedup.dedup_lines(docs).where("text <> ''").select("row.doc_id").collect()}
+    assert left == {min(i for i, f, _ in rows if f == family) for family in range(12)}
+
+
 def test_mixing(spark):
     rows = mixing.mix_report(edge_docs(spark)).collect()
     sizes = Counter((i, len((t or "").encode().split())) for i, t, _ in texts())
