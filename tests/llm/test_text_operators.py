@@ -289,6 +289,30 @@ def test_line_dedup_of_mixed_families(spark):
     assert left == {min(i for i, f, _ in rows if f == family) for family in range(12)}
 
 
+def test_line_dedup_counts_character_edits(spark):
+    """Short lines against brute force over all pairs, and a line of twelve words with two typos."""
+    pick, lines = np.random.default_rng(11), []
+    for k in range(25):
+        base = prose(300 + k, 1 + k % 9)
+        for _ in range(5):
+            line = list(base)
+            for _ in range(int(pick.integers(0, 2 + len(base) // 8))):
+                at = int(pick.integers(0, len(line)))
+                line[at : at + int(pick.integers(0, 2))] = "xyz"[: int(pick.integers(0, 2))]
+            lines.append(" ".join(words_of("".join(line))) or base)
+    lines = [x for x in lines if len(x) <= line_dedup.SHORT]
+    long = prose(400, 12)
+    lines += ["Subscribe to our newsletter today", "Subscribe to our newsletter todey", "menu home about", "menu home abuot", long, "x" + long[1:-1] + "z"]
+    root = np.arange(len(lines))
+    for k, x in enumerate(lines):
+        for j, y in enumerate(lines[:k]):
+            if edits(x.lower(), y.lower()) <= int(max(len(x), len(y)) * 0.1 + 1e-9):
+                root = simhash.unite(root, np.array([k]), np.array([j]))
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(8)
+    left = {r.doc_id for r in line_dedup.dedup_lines(docs).where("text <> ''").select("row.doc_id").collect()}
+    assert left == set(root.tolist())
+
+
 def test_mixing(spark):
     rows = mixing.mix_report(edge_docs(spark)).collect()
     sizes = Counter((i, len((t or "").encode().split())) for i, t, _ in texts())
