@@ -116,10 +116,10 @@ def majority_bits(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int, copies: int = 1, carry: list[str] | None = None) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int, copies: int = 1, carry: list[str] | None = None, distinct: bool = False) -> DataFrame:
     """``(doc_id, row, f0, f1, ...)``: ``copies`` fingerprints of 64 bits for every row of ``docs(doc_id, text)``.
 
-    ``row`` is a struct of the columns in ``carry``.
+    ``row`` is a struct of the columns in ``carry``.  With ``distinct`` a shingle counts once however often it repeats.
     """
     names = [f"f{c}" for c in range(copies)]
 
@@ -127,6 +127,7 @@ def fingerprints(docs: DataFrame, shingle: int, copies: int = 1, carry: list[str
         for whole in batches:
             for batch in slices(whole):
                 own = [shingle_hashes(data, shingle) for data in utf8(batch.column(2))]
+                own = [np.unique(h) for h in own] if distinct else own
                 sizes = np.array([len(h) for h in own], dtype=np.int64)
                 hashes = np.concatenate(own) if own else np.empty(0, dtype=np.uint64)
                 columns = [pa.array(majority_bits(mixed(hashes, c), sizes).view(np.int64)) for c in range(copies)]
@@ -305,7 +306,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     An empty table gives an empty one.
     """
     names = [f"f{c}" for c in range(COPIES)]
-    rows = fingerprints(docs, NEAR_SHINGLE, COPIES, docs.columns)
+    rows = fingerprints(docs, NEAR_SHINGLE, COPIES, docs.columns, distinct=True)
     rows = stored(rows.withColumn("row_id", F.monotonically_increasing_id()), "near-rows")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_id")).alias("best")
     nodes = rows.groupBy(*names).agg(best).withColumn("node", F.monotonically_increasing_id())

@@ -199,6 +199,16 @@ def test_near_duplicates_reach_the_similarity(spark):
     assert simhash.near_duplicates(no_docs(spark)).count() == 0
 
 
+def test_near_duplicates_count_a_repeated_passage_once(spark):
+    rows = []
+    for i in range(10):
+        words = prose(7000 + i, 200).split()
+        rows += [(i, " ".join(words)), (100 + i, " ".join([*words, *words[90:100] * 60]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keep = {r.doc_id: r.keep_id for r in simhash.near_duplicates(docs).select("row.doc_id", "keep_id").collect()}
+    assert all(keep[i] == keep[100 + i] == i for i in range(10))
+
+
 def words_of(line):
     import regex
 
