@@ -56,9 +56,12 @@ def differences(got: pd.DataFrame, want: pd.DataFrame) -> str | None:
     if len(got) != len(want):
         return f"{len(got)} rows against {len(want)}"
     for name in got.columns:
+        if str(want[name].dtype) == "Int64" and str(got[name].dtype) in ("int64", "float64"):
+            # Spark hands over a nullable integer column as floating point.
+            got[name] = got[name].astype("Int64")
         if str(got[name].dtype) != str(want[name].dtype):
             return f"type of {name}: {got[name].dtype} against {want[name].dtype}"
-        unequal = ~((got[name] == want[name]) | (got[name].isna() & want[name].isna()))
+        unequal = ~((got[name] == want[name]).fillna(False) | (got[name].isna() & want[name].isna()))
         if unequal.any():
             i = unequal.idxmax()
             return f"{unequal.sum()} values of {name}, first {got.loc[i].to_dict()} against {want.loc[i].to_dict()}"
