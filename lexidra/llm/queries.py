@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexidra.llm import chat, secret_scan
+from lexidra.llm import chat, periodic, secret_scan
 from lexidra.llm.cover_search import top_products
 from lexidra.llm.exact_dedup import exact_groups
 from lexidra.llm.line_dedup import dedup_lines
@@ -68,6 +68,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(periodic.collapse_runs(periodic.planted(table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_chat_formatting": op2_chat_formatting,
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_resampling": op8_quality_resampling,
     "op9_cover_search": op9_cover_search,
     "op10_token_counts": op10_token_counts,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 _INTEGERS = "[floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding]"
@@ -136,4 +141,5 @@ ORACLE: dict[str, str] = {
             FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0)
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
         FROM s QUALIFY rank <= 5""",
+    "op11_periodic_runs": periodic.SQL,
 }
