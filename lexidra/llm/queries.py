@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexidra.llm import chat, periodic, secret_scan
+from lexidra.llm import chat, language, periodic, secret_scan
 from lexidra.llm.cover_search import top_products
 from lexidra.llm.exact_dedup import exact_groups
 from lexidra.llm.line_dedup import dedup_lines
@@ -72,6 +72,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.report(periodic.collapse_runs(periodic.planted(table(spark, sf_dir, "documents"))))
 
 
+def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose CRC-32 leaves 1 are held out; a null id is not held out."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    return language.identify(table(spark, sf_dir, "documents"), ~held_out, {"doc_id": F.col("doc_id"), "held_out": held_out})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_chat_formatting": op2_chat_formatting,
@@ -84,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_cover_search": op9_cover_search,
     "op10_token_counts": op10_token_counts,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_language": op12_language,
 }
 
 _INTEGERS = "[floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding]"
