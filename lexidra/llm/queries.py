@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexidra.llm import chat, language, periodic, secret_scan
+from lexidra.llm import chat, language, merkle, periodic, secret_scan
 from lexidra.llm.cover_search import top_products
 from lexidra.llm.exact_dedup import exact_groups
 from lexidra.llm.line_dedup import dedup_lines
@@ -78,6 +78,10 @@ def op12_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"), ~held_out, {"doc_id": F.col("doc_id"), "held_out": held_out})
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_chat_formatting": op2_chat_formatting,
@@ -91,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_language": op12_language,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 _INTEGERS = "[floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding]"
@@ -149,4 +154,5 @@ ORACLE: dict[str, str] = {
         SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
         FROM s QUALIFY rank <= 5""",
     "op11_periodic_runs": periodic.SQL,
+    "op13_merkle_manifest": merkle.SQL,
 }
