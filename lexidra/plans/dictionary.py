@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from lexidra.operators.clustering import CLUSTERS_PER_TOKEN, train_vector_dictionary
 from lexidra.operators.encoders import HASH_DIM, hash_token_vectors
 from lexidra.operators.lexical import doc_tokens
-from lexidra.operators.neighbors import nearest_centroids, nearest_centroids_approx
+from lexidra.operators.neighbors import nearest_centroids
 from lexidra.operators.pooling import maxsim_document_vector
 from lexidra.operators.postings import drop_terms, score_threshold
+from lexidra.operators.quantized import nearest_centroids_approx
 from lexidra.operators.ranking import DEFAULT_TOP_K
 from lexidra.operators.search import unweighted_search
 from lexidra.session import cut_lineage
