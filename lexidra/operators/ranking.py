@@ -57,7 +57,7 @@ def with_ordinal(df: DataFrame, order_col: str, name: str = "ordinal", buckets:
     parts = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = df.withColumn("_key", F.col(order_col).cast("double"))
     edges = sorted(set(keyed.approxQuantile("_key", [i / parts for i in range(1, parts)], 0.5 / parts)))
-    splits = [float("-inf"), *edges, float("inf")]
+    splits = [float("-inf"), *(edges or [0.0]), float("inf")]
     placed = Bucketizer(splits=splits, inputCol="_key", outputCol="_part").transform(keyed).drop("_key")
     counted = placed.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect()
     starts = list(accumulate((row["n"] for row in counted), initial=0))

@@ -9,6 +9,7 @@ from lexidra.functions.numeric import report
 from lexidra.functions.text import term_name as name_of
 from lexidra.operators import postings as P
 from lexidra.operators import search as S
+from lexidra.operators.bounded import bounded_index, bounded_search
 from lexidra.operators.encoders import hash_static_vectors
 from lexidra.operators.lexical import doc_tokens, query_term_counts
 from lexidra.operators.pooling import calibrate_threshold, mean_pooling
@@ -103,6 +104,12 @@ def sparse_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.sparse_dot_search(_heavy_terms(spark, sf_dir), tables.tf_postings(spark, sf_dir), SHORT)
 
 
+def bounded_sparse_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by block bounds."""
+    terms = P.prepare_query_weights(_heavy_terms(spark, sf_dir)).select("query_id", "term", "weight")
+    return bounded_search(terms, bounded_index(tables.tf_postings(spark, sf_dir)), SHORT)
+
+
 def splade_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pooled queries against pooled documents, the ten best of each."""
     items = tables.queries(spark, sf_dir).select(F.col("query_id").alias("doc_id"), "text")
@@ -163,6 +170,7 @@ QUERIES = {
     "weighted_sum_all_docs": weighted_sum_all_docs,
     "all_docs_top10": all_docs_top10,
     "sparse_top10": sparse_top10,
+    "bounded_sparse_top10": bounded_sparse_top10,
     "splade_pooling": splade_pooling,
     "splade_search": splade_search,
     "sparta_pooling": sparta_pooling,
@@ -245,6 +253,7 @@ ORACLE = {
     "weighted_sum_all_docs": f"WITH {TF}, {QTERMS} SELECT query_id, doc_id, score, rank FROM {topk(_ALL_DOCS, DEPTH)}",
     "all_docs_top10": f"WITH {TF}, {QTERMS} SELECT query_id, doc_id, score, rank FROM {topk(_ALL_DOCS, SHORT)}",
     "sparse_top10": f"WITH {TF}, {_HEAVY} SELECT query_id, doc_id, score, rank FROM {topk(_scored('pq.weight'), SHORT)}",
+    "bounded_sparse_top10": f"WITH {TF}, {_HEAVY} SELECT query_id, doc_id, score, rank FROM {topk(_scored('pq.weight'), SHORT)}",
     "splade_search": f"""WITH {TOKENS}, qd AS MATERIALIZED (SELECT item_id AS doc_id, {tokens_of('text')} AS toks FROM benchmark),
         qtok AS (SELECT doc_id, unnest(toks) AS token, generate_subscripts(toks, 1) - 1 AS pos FROM qd),
         dp AS MATERIALIZED ({_SPLADE.format('tok')}), qp AS MATERIALIZED ({_SPLADE.format('qtok')}),
