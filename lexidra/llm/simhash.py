@@ -216,6 +216,44 @@ def ball_collisions(
     return both // len(values), both % len(values)
 
 
+def cross_collisions(values: np.ndarray, roots: np.ndarray, route: int, route_bits: int, bits: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of places in ``values`` of different ``roots`` that share a variant whose leading bits are ``route``.
+
+    ``radius`` is even, so both sides of a pair reach their variants with the same number of flips.
+    """
+    rest = bits - route_bits
+    suffix = values & np.uint64((1 << rest) - 1)
+    used = np.bitwise_count((values >> np.uint64(rest)) ^ np.uint64(route)) if route_bits else np.zeros(len(values), dtype=np.uint8)
+    keys, owners = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int64)]
+    for n in range(radius // 2 + 1):
+        place = np.flatnonzero(used == n)
+        masks = flips(rest, radius // 2 - n)
+        keys.append((suffix[place][:, None] ^ masks[None, :]).ravel())
+        owners.append(np.repeat(place, len(masks)))
+    keys, owners = np.concatenate(keys), np.concatenate(owners)
+    own = np.unique(roots, return_inverse=True)[1][owners]
+    order = np.lexsort((own, keys))
+    keys, owners, own = keys[order], owners[order], own[order]
+    edge = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    inner = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (own[1:] != own[:-1]))[: len(keys)])
+    at = np.arange(len(keys))
+    # The owners of a variant stand together, those of one root among them too.
+    ends = np.append(edge, len(keys))[np.searchsorted(edge, at, side="right")]
+    after = np.append(inner, len(keys))[np.searchsorted(inner, at, side="right")]
+    # Every member of a variant meets those of the roots behind its own.
+    found, many = [], np.cumsum(ends - after)
+    start = 0
+    while start < len(keys):
+        stop = max(start + 1, int(np.searchsorted(many, (many[start - 1] if start else 0) + LOOKUPS, side="right")))
+        n = (ends - after)[start:stop]
+        a = np.repeat(owners[start:stop], n)
+        b = owners[np.repeat(after[start:stop], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        found.append(np.unique(np.minimum(a, b) * len(values) + np.maximum(a, b)))
+        start = stop
+    both = np.unique(np.concatenate(found)) if found else np.empty(0, dtype=np.int64)
+    return both // max(1, len(values)), both % max(1, len(values))
+
+
 def _route_bits(points: DataFrame, bits: int, group_rows: int) -> int:
     """Leading bits for which no group is larger than ``group_rows``, as far as ``MOST_ROUTE_BITS`` go."""
     most = min(MOST_ROUTE_BITS, bits)
@@ -231,21 +269,27 @@ def ball_pairs(points: DataFrame, bits: int, radius: int, links: bool, group_row
     """Pairs ``(a, b)`` of nodes whose values meet in a variant; see ``ball_collisions``.
 
     ``points(node, space, value)``: values of ``bits`` bits, compared within their space.  Nodes
-    of a space have distinct values, unless the pairs are verified elsewhere.
+    of a space have distinct values, unless the pairs are verified elsewhere.  With a column
+    ``root`` as well, all pairs of different roots are returned; see ``cross_collisions``.
     """
+    rooted = "root" in points.columns
     route_bits = _route_bits(points, bits, group_rows)
     masks = [int(m) for m in flips(route_bits, radius - radius // 2)]
     lead = F.shiftrightunsigned("value", bits - route_bits) if route_bits else F.lit(0).cast("long")
     # The patterns in order of their number of flips: a row for each leading pattern in reach.
+    carried = ["node", "value", *["root"] * rooted]
     routed = points.select(
-        "space", lead.alias("lead"), "node", "value", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("mask")
-    ).select("space", F.col("lead").bitwiseXOR(F.col("mask")).alias("route"), "node", "value")
+        "space", lead.alias("lead"), *carried, F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("mask")
+    ).select("space", F.col("lead").bitwiseXOR(F.col("mask")).alias("route"), *carried)
 
     def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         nodes = group.column("node").to_numpy()
         order = np.argsort(nodes, kind="stable")
         nodes, values = nodes[order], group.column("value").to_numpy().view(np.uint64)[order]
-        a, b = ball_collisions(values, key[1].as_py(), route_bits, bits, radius, links)
+        if rooted:
+            a, b = cross_collisions(values, group.column("root").to_numpy()[order], key[1].as_py(), route_bits, bits, radius)
+        else:
+            a, b = ball_collisions(values, key[1].as_py(), route_bits, bits, radius, links)
         return pa.table({"a": nodes[a], "b": nodes[b]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
     return routed.groupBy("space", "route").applyInArrow(run, "a long, b long").distinct()
@@ -300,8 +344,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     five-word shingles (a shorter text is one shingle).  Candidates are rows of which one of
     ``SPACES`` halves of fingerprints differ in at most ``HALF_RADIUS`` bits: that finds 95 % of
     the pairs at a similarity of 0.8 and 99 % at 0.85.  Pairs that all fingerprints together put
-    below ``LOOSE`` are dropped, the others verified.  In a large group rows meet through the
-    first of each set of colliding variants.  Of every connected group the row with the smallest
+    below ``LOOSE`` are dropped, the others verified.  In a large group rows meet the first of
+    each set of colliding variants, and then all others of the set that verified pairs have not joined them with.  Of every connected group the row with the smallest
     id stays (null last).  Texts without words are one group; of rows repeated whole one stays.
     An empty table gives an empty one.
     """
@@ -315,15 +359,23 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     halves = [F.col(n).bitwiseAND(F.lit(low)) for n in names] + [F.shiftrightunsigned(n, 32) for n in names]
     # Both halves of the first fingerprints.
     used = [halves[i // 2 + (i % 2) * COPIES] for i in range(SPACES)]
-    points = nodes.select("node", F.posexplode(F.array(*used)).alias("space", "value"))
-    pairs = stored(ball_pairs(points, 32, HALF_RADIUS, links=False, group_rows=HALF_GROUP_ROWS), "near-pairs")
-    left = nodes.select(F.col("node").alias("a"), F.array(*names).alias("x"))
-    right = nodes.select(F.col("node").alias("b"), F.array(*names).alias("y"))
-    apart = F.aggregate(
-        F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, n: acc + n
-    )
-    loose = pairs.join(left, "a").join(right, "b").where(apart <= most_bits(LOOSE, BITS * COPIES)).select("a", "b")
-    roots = connected_components(_verified(stored(loose, "near-loose"), nodes, rows, similarity))
+    points = stored(nodes.select("node", F.posexplode(F.array(*used)).alias("space", "value")), "near-points")
+    # Equal halves are one point, and the rows that share one meet its first row.
+    values = points.groupBy("space", "value").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n"))
+    values = stored(values, "near-values")
+    shared = values.where("n > 1").select("space", "value", F.col("node").alias("a"))
+    equal = points.join(shared, ["space", "value"]).where("node <> a").select("a", F.col("node").alias("b"))
+    met = ball_pairs(values.drop("n"), 32, HALF_RADIUS, links=False, group_rows=HALF_GROUP_ROWS).unionByName(equal)
+    pairs = stored(met.distinct(), "near-pairs")
+    links = _verified(pairs, nodes, rows, names, similarity)
+    # Rows that meet only through others which they do not resemble: all that met anything and
+    # are not in one component yet are compared with one another.
+    crowd = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    crowd = stored(crowd.join(connected_components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root")), "near-crowd")
+    # A point that was represented by another one stands for itself here.
+    apart = ball_pairs(points.join(crowd, "node"), 32, HALF_RADIUS, links=False, group_rows=HALF_GROUP_ROWS)
+    late = stored(apart.join(pairs, (apart["a"] == pairs["a"]) & (apart["b"] == pairs["b"]), "left_anti"), "near-late-pairs")
+    roots = connected_components(links.unionByName(_verified(late, nodes, rows, names, similarity)))
     rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = rooted.groupBy("root").agg(F.min("best").alias("keep"))
     classes = rooted.join(kept, "root").select(*names, F.col("keep.doc_id").alias("keep_id"), F.col("keep.row_id").alias("keep_row"))
@@ -331,8 +383,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     return rows.select("row", "row_id").join(stored(narrow, "near-kept"), "row_id")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
-    """The pairs of nodes whose texts have the similarity."""
+def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, names: list[str], similarity: float) -> DataFrame:
+    """The pairs of nodes whose texts have the similarity; those that their fingerprints put far below it are not read."""
+    left = nodes.select(F.col("node").alias("a"), F.array(*names).alias("x"))
+    right = nodes.select(F.col("node").alias("b"), F.array(*names).alias("y"))
+    bits = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, n: acc + n)
+    loose = pairs.join(left, "a").join(right, "b").where(bits <= most_bits(LOOSE, BITS * COPIES)).select("a", "b")
+    pairs = stored(loose, "near-loose")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     places = stored(nodes.join(ids, "node").select("node", F.col("best.row_id").alias("row_id")), "near-places")
     wanted = F.broadcast(places) if places.count() <= SHIPPED_ROWS else places
@@ -341,4 +398,4 @@ def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, similarity: f
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     both = pairs.join(left, "a").join(right, "b")
-    return both.where(common >= (F.size("x") + F.size("y") - common) * similarity).select("a", "b")
+    return stored(both.where(common >= (F.size("x") + F.size("y") - common) * similarity).select("a", "b"), "near-links")

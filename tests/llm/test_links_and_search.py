@@ -12,7 +12,7 @@ import pytest
 from edge_cases import edge_docs, no_docs, prose, texts
 from pyspark.sql import functions as F
 
-from lexidra.llm import chat, cover_search, secret_scan
+from lexidra.llm import chat, cover_search, secret_scan, simhash
 from lexidra.llm.components import connected_components
 
 
@@ -157,3 +157,19 @@ def test_cover_search(spark, monkeypatch, block, query_block):
     got = Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in cover_search.top_products(df, F.col("vec_id") % 50 == 0).collect())
     assert got == brute_search(rows)
     assert cover_search.top_products(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+@pytest.mark.parametrize("copies", [10, 100, 400])
+def test_near_copies_of_one_base(spark, copies):
+    """Copies that resemble the base (0.82) and not one another (0.68) are found through the base."""
+    words = prose(900, 404).split()
+    rows = [(0, " ".join(words))]
+    for i in range(copies):
+        pick, own = np.random.default_rng(i), list(words)
+        # Eight changed words far apart change forty of four hundred shingles.
+        for at in (pick.permutation(40)[:8] * 10 + 5).tolist():
+            own[at] = f"z{i}x{at}"
+        rows.append((i + 1, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    kept = simhash.near_duplicates(docs).where("kept").count()
+    assert kept - 1 <= 0.1 * copies
