@@ -39,22 +39,25 @@ PATTERNS = {
     "hex": r"[0-9a-f]+",
     "account": _names("user_?name", "user", "login", "client_?id", "account") + _VALUE + r"([A-Za-z0-9@+_.-]+)",
     "random": r"[A-Za-z0-9+/_-]{20,}",
-    "endpoint": r"[a-z][a-z0-9+.-]*://[A-Za-z0-9_.:@/?&=%~-]+",
+    # A scheme has at most 20 characters, so that a long run of letters is not read again from each of them.
+    "endpoint": r"[a-z][a-z0-9+.-]{0,19}://[A-Za-z0-9_.:@/?&=%~-]+",
 }
 KINDS = tuple(PATTERNS)
 BASE = ("assign", "access", "hex")
 LEAST = {"access": 16, "hex": 32}
 # A weak kind is reported when one of these lies in its scope.
 COMPLEMENTS = {
-    "account": ("assign", "hex", "random"),
-    "random": ("access", "account"),
-    "endpoint": ("assign", "access", "hex"),
+    "account": ("assign", "hex", "random", "endpoint"),
+    "random": ("access", "account", "endpoint"),
+    "endpoint": ("assign", "access", "hex", "random", "account"),
 }
-#: Every reported span lies in a text with a match of one of these.
+#: Every reported span lies in a text with a match of one of these, or of both of ``BOTH``.
 ANY = "|".join(
     [PATTERNS["assign"].split(_VALUE)[0] + _VALUE, r"AKIA[A-Z0-9]{12}", r"[0-9a-f]{32}", PATTERNS["account"].split(_VALUE)[0] + _VALUE]
 )
 
+BOTH = (r"[a-z0-9+.-]://", r"[A-Za-z0-9+/_-]{20}")
+
 
 def _passes(kind: str) -> Callable[[Column], Column]:
     if kind == "assign":
@@ -77,7 +80,8 @@ def _matches(kind: str) -> Column:
 
 def _spans(docs: DataFrame) -> DataFrame:
     """``(r1, r2, kind, start, end)`` of all base findings and of the weak candidates beside them."""
-    texts = docs.where(F.col("text").rlike(ANY)).select("r1", "r2", "text")
+    text = F.col("text")
+    texts = docs.where(text.rlike(ANY) | (text.rlike(BOTH[0]) & text.rlike(BOTH[1]))).select("r1", "r2", "text")
     found = texts.select("r1", "r2", F.explode(F.array(*[_matches(k) for k in KINDS])).alias("m"))
     each = found.select("r1", "r2", "m.kind", "m.gaps", F.posexplode("m.hits").alias("no", "hit"))
     placed = each.select("r1", "r2", "kind", "no", F.get("gaps", F.col("no")).alias("gap"), "hit.size", "hit.ok")
@@ -173,9 +177,10 @@ def sql() -> str:
     names = ", ".join(f"'{k}'" for k in KINDS)
     numbers = {k: ", ".join(str(KINDS.index(c)) for c in v) for k, v in COMPLEMENTS.items()}
     linked = " OR ".join(f"(w.kind = {KINDS.index(k)} AND p.kind IN ({v}))" for k, v in numbers.items())
-    any_match = ANY.replace("'", "''")
+    quoted = ANY.replace("'", "''")
+    any_match = f"regexp_matches(text, '{quoted}') OR (regexp_matches(text, '{BOTH[0]}') AND regexp_matches(text, '{BOTH[1]}'))"
     return f"""
-        WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text FROM documents WHERE regexp_matches(text, '{any_match}')),
+        WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text FROM documents WHERE {any_match}),
         s AS MATERIALIZED ({" UNION ALL ".join(_sql_kind(i, k) for i, k in enumerate(KINDS))}),
         p AS MATERIALIZED (SELECT * FROM s WHERE kind < 3 OR NOT EXISTS (SELECT 1 FROM s AS b
             WHERE b.doc_id = s.doc_id AND b.kind < 3 AND b.start < s.final AND s.start < b.final)),
