@@ -24,6 +24,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete ``stored`` tables that nothing unfinished reads any more."""
+    for df in tables:
+        folders = {name.rsplit("/", 1)[0] for name in df.inputFiles()}
+        spark = df.sparkSession
+        for folder in folders:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def named(df: DataFrame, *columns: str) -> DataFrame:
     """Only these columns, so that no other column of ``df`` can clash with a name used later."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
