@@ -31,9 +31,10 @@ def build_dictionary(
     k: int = CLUSTERS_PER_TOKEN,
     iterations: int | None = None,
     stop: list | None = None,
+    seeding: str = "distance",
 ) -> DataFrame:
     """``(term, token, cluster, vec)``; special tokens in ``stop`` get no entries."""
-    return train_vector_dictionary(drop_terms(token_vecs, stop or []), dim, k, iterations)
+    return train_vector_dictionary(drop_terms(token_vecs, stop or []), dim, k, iterations, seeding)
 
 
 def _neighbors(vecs: DataFrame, dictionary: DataFrame, n: int, approximate: bool) -> DataFrame:

@@ -119,18 +119,87 @@ def test_dictionary_equals_plain_lloyd(spark, token_vecs):
                 centres[j] = np.floor(mean * 2**20 + 0.5) / 2**20
         for j, c in enumerate(centres):
             want[f"{token}_{j}"] = tuple(c)
-    got = clustering.train_vector_dictionary(token_vecs, encoders.HASH_DIM, k=3, iterations=4)
+    got = clustering.train_vector_dictionary(token_vecs, encoders.HASH_DIM, k=3, iterations=4, seeding="hash")
     assert {r.term: tuple(r.vec) for r in got.collect()} == want
 
 
-def test_dictionary_of_many_blocks_is_the_same(spark, token_vecs, monkeypatch):
-    plain = clustering.train_vector_dictionary(token_vecs, encoders.HASH_DIM, k=3, iterations=2)
+@pytest.mark.parametrize("seeding", ["distance", "hash"])
+@pytest.mark.parametrize("iterations", [2, None])
+def test_dictionary_of_many_blocks_is_the_same(spark, token_vecs, monkeypatch, seeding, iterations):
+    plain = clustering.train_vector_dictionary(token_vecs, encoders.HASH_DIM, k=3, iterations=iterations, seeding=seeding)
     want = {r.term: tuple(r.vec) for r in plain.collect()}
     monkeypatch.setattr(clustering, "BLOCK_POINTS", 5)
-    blocked = clustering.train_vector_dictionary(token_vecs, encoders.HASH_DIM, k=3, iterations=2)
+    monkeypatch.setattr(clustering, "LOCAL_BYTES", 8 * encoders.HASH_DIM * 12)
+    blocked = clustering.train_vector_dictionary(token_vecs, encoders.HASH_DIM, k=3, iterations=iterations, seeding=seeding)
     assert {r.term: tuple(r.vec) for r in blocked.collect()} == want
 
 
+def plain_rounds(points, counts, centres):
+    """Lloyd rounds without bounds, until nothing moves."""
+    while True:
+        nearest = ((points[:, None] - centres[None]) ** 2).sum(-1).argmin(axis=1)
+        moved = centres.copy()
+        for j in set(nearest.tolist()):
+            mine = nearest == j
+            moved[j] = np.floor((points[mine] * counts[mine, None]).sum(0) / counts[mine].sum() * 2**20 + 0.5) / 2**20
+        if (moved == centres).all():
+            return centres
+        centres = moved
+
+
+@pytest.mark.parametrize("clusters", [1, 2, 7])
+def test_bounded_rounds_equal_plain_rounds(clusters):
+    rng = np.random.default_rng(clusters)
+    points = np.unique(np.round(rng.normal(size=(3000, 4)) * 64) / 64, axis=0)
+    counts = rng.integers(1, 50, len(points))
+    seeds = points[rng.choice(len(points), clusters, replace=False)]
+    got = clustering._settled(points, counts, seeds, 300)
+    assert (got == plain_rounds(points, counts, seeds)).all()
+
+
+def test_seeds_are_drawn_by_weight_and_distance():
+    rng = np.random.default_rng(1)
+    vecs, counts = np.array([[0.0], [1.0], [3.0]]), np.array([5, 4, 1])
+    second = np.zeros(3)
+    for _ in range(20000):
+        keys = rng.integers(0, 1 << 60, 3)
+        gaps = clustering._gaps(vecs, vecs[:1])
+        second[clustering._best_point(gaps, counts, keys, 1, "distance")[1]] += 1
+    assert second[0] == 0  # already a seed
+    assert abs(second[1] / 20000 - 4 / 13) < 0.02  # 4 copies at distance 1, one at squared distance 9
+
+
+def inertia(token_vecs, dictionary):
+    near = token_vecs.select("token", "doc_id", "pos", F.col("vec").alias("v")).join(dictionary, "token")
+    gap = F.aggregate(F.zip_with("v", "vec", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x)
+    least = near.groupBy("token", "doc_id", "pos").agg(F.min(gap).alias("gap"))
+    return least.agg(F.sum("gap")).first()[0]
+
+
+def test_weighted_seeds_find_separate_groups(spark):
+    """Six far groups, one of them with most points: hash seeds mostly fall into that one."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for token in range(12):
+        sizes = [400, 4, 4, 4, 4, 4]
+        centres = rng.normal(size=(6, 4)) * 40
+        for centre, size in zip(centres, sizes):
+            rows += [(f"t{token}", len(rows) + i, 0, [float(x) for x in np.round((centre + rng.normal(size=4)) * 64) / 64]) for i in range(size)]
+    vecs = spark.createDataFrame(rows, "token string, doc_id bigint, pos bigint, vec array<double>")
+    costs = [inertia(vecs, clustering.train_vector_dictionary(vecs, 4, k=6, seeding=s)) for s in ("distance", "hash")]
+    assert costs[0] < costs[1] / 4
+    assert costs[0] < 12 * 420 * 4 * 1.5  # about the variance inside the groups
+
+
+def test_dictionary_of_nothing_and_of_copies(spark):
+    kind = "token string, doc_id bigint, pos bigint, vec array<double>"
+    assert clustering.train_vector_dictionary(spark.createDataFrame([], kind), 2).isEmpty()
+    copies = spark.createDataFrame([("a", i, 0, [1.0, 0.1]) for i in range(50)], kind)
+    assert [(r.term, r.vec) for r in clustering.train_vector_dictionary(copies, 2, k=3).collect()] == [("a_0", [1.0, 0.1])]
+    with pytest.raises(ValueError):
+        clustering.train_vector_dictionary(copies, 2, seeding="other")
+
+
 def test_dictionary_converges(spark, token_vecs):
     done = clustering.train_vector_dictionary(token_vecs, encoders.HASH_DIM, k=2)
     more = clustering.train_vector_dictionary(token_vecs, encoders.HASH_DIM, k=2, iterations=40)
