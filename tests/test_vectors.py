@@ -358,3 +358,43 @@ def test_elbow_falls(spark):
     curve = [r.inertia for r in clustering.elbow_curve(frame(spark, "vec_id", x), (2, 4, 12)).orderBy("k").collect()]
     assert curve[0] > curve[1] > curve[2]
     assert clustering.global_kmeans(frame(spark, "vec_id", x), 4).count() == 4
+
+
+def plain_chain(points, keys, k):
+    """Seeds drawn one after the other over all points."""
+    seeds = np.empty((0, points.shape[1]))
+    while len(seeds) < k:
+        cost, best = clustering._best_point(clustering._gaps(points, seeds), np.ones(len(points)), keys, len(seeds), "distance")
+        if not np.isfinite(cost):
+            break
+        seeds = np.vstack([seeds, points[best]])
+    return seeds
+
+
+@pytest.mark.parametrize("ahead,candidates", [(16, 64), (16, 3), (1, 1), (5, 1)])
+def test_models_equal_plain_kmeans(spark, monkeypatch, ahead, candidates):
+    import hashlib
+
+    monkeypatch.setattr(clustering, "SEEDS_AHEAD", ahead)
+    monkeypatch.setattr(clustering, "SEED_CANDIDATES", candidates)
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(300, 3)) * 64) / 64
+    x[::4] = x[0]  # a quarter are copies of one vector
+    keys = np.array([int(hashlib.md5(f"7:{i}".encode()).hexdigest()[:15], 16) for i in range(len(x))])
+    models, inertia = clustering.kmeans_models(frame(spark, "vec_id", x).repartition(5), (1, 4, 9), None, 7, "vec", "vec_id")
+    seeds = plain_chain(x, keys, 9)
+    for k in (1, 4, 9):
+        want = plain_rounds(x, np.ones(len(x), dtype=int), seeds[:k])
+        assert (models[k] == want).all()
+        assert inertia[k] == pytest.approx(((x[:, None] - want[None]) ** 2).sum(-1).min(1).sum())
+
+
+def test_models_of_few_vectors(spark):
+    kind = "vec_id bigint, vec array<double>"
+    assert clustering.global_kmeans(spark.createDataFrame([], kind), 4).isEmpty()
+    assert clustering.elbow_curve(spark.createDataFrame([(1, None)], kind), (2, 3)).isEmpty()
+    few = spark.createDataFrame([(i, [float(i % 3), 0.0]) for i in range(30)] + [(99, None)], kind)
+    assert sorted(r.vec for r in clustering.global_kmeans(few, 8).collect()) == [[0.0, 0.0], [1.0, 0.0], [2.0, 0.0]]
+    assert [r.inertia for r in clustering.elbow_curve(few, (3, 8)).orderBy("k").collect()] == [0.0, 0.0]
+    with pytest.raises(ValueError):
+        clustering.global_kmeans(few, 10**8)
