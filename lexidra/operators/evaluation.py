@@ -1,8 +1,9 @@
 """Ranking quality: NDCG, MAP, recall, precision and MRR as long ``(metric, k, value)`` rows.
 
 NDCG, MAP, recall and precision average over the queries found in both the run and the
-judgments; MRR averages over all judged queries.  Hits on the query's own id are dropped
-and ties are broken by ``doc_id`` ascending.
+judgments; MRR averages over all judged queries.  Hits on the query's own id are dropped.
+Ties are broken by ``doc_id``: ``ties`` is ``ascending``, or ``descending`` as in the usual
+command-line evaluation tool, which takes ids as strings.
 """
 
 from __future__ import annotations
@@ -18,15 +19,18 @@ from lexidra.session import cut_lineage
 K_VALUES = (1, 3, 5, 10, 100, 1000)
 METRICS = ("ndcg", "map", "recall", "precision", "mrr")
 METRIC_DIGITS = 1e5
+TIES = ("ascending", "descending")
 
 
-def judged_hits(run: DataFrame, qrels: DataFrame, depth: int) -> DataFrame:
+def judged_hits(run: DataFrame, qrels: DataFrame, depth: int, ties: str = "ascending") -> DataFrame:
     """The top ``depth`` hits per query with their grade: ``(query_id, doc_id, rank, rel)``.
 
     The run is cut before the judgment join, so every later window sees at most
     ``depth`` rows per query.
     """
-    top = rank_topk(drop_self_hits(run).select("query_id", "doc_id", "score"), depth)
+    if ties not in TIES:
+        raise ValueError(f"unknown order of ties {ties!r}, expected one of {TIES}")
+    top = rank_topk(drop_self_hits(run).select("query_id", "doc_id", "score"), depth, tie_descending=ties == "descending")
     grades = qrels.select("query_id", "doc_id", F.col("rel").cast("bigint").alias("rel"))
     return (
         top.join(grades, ["query_id", "doc_id"], "left")
@@ -49,14 +53,16 @@ def _query_grid(queries: DataFrame, k_values: tuple[int, ...]) -> DataFrame:
     return queries.withColumn("k", F.explode(F.array(*[F.lit(k).cast("bigint") for k in k_values])))
 
 
-def per_query_measures(run: DataFrame, qrels: DataFrame, k_values: tuple[int, ...] = K_VALUES) -> DataFrame:
+def per_query_measures(
+    run: DataFrame, qrels: DataFrame, k_values: tuple[int, ...] = K_VALUES, ties: str = "ascending"
+) -> DataFrame:
     """One row per judged query and cut-off: ``(query_id, k, retrieved, ndcg, ap, recall, precision, rr)``.
 
     The judged hits, at most ``max(k_values)`` per query, are stored once: a run is often the
     end of a long search, and several measures read it.
     """
     depth = max(k_values)
-    hits = cut_lineage(judged_hits(run, qrels, depth))
+    hits = cut_lineage(judged_hits(run, qrels, depth, ties))
     retrieved = hits.select("query_id").distinct().withColumn("retrieved", F.lit(True))
 
     running = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -103,14 +109,18 @@ _SOURCE = {"ndcg": "ndcg", "map": "ap", "recall": "recall", "precision": "precis
 
 
 def evaluate_run(
-    qrels: DataFrame, run: DataFrame, k_values: tuple[int, ...] = K_VALUES, metric: str | None = None
+    qrels: DataFrame,
+    run: DataFrame,
+    k_values: tuple[int, ...] = K_VALUES,
+    metric: str | None = None,
+    ties: str = "ascending",
 ) -> DataFrame:
     """All measures, or the single one named by ``metric``: ``(metric, k, value)`` rounded to five digits."""
     names = METRICS if metric is None else (metric,)
     unknown = [name for name in names if name not in _SOURCE]
     if unknown:
         raise ValueError(f"unknown metric {unknown[0]!r}, expected one of {METRICS}")
-    measures = per_query_measures(run, qrels, k_values)
+    measures = per_query_measures(run, qrels, k_values, ties)
     means = []
     for name in names:
         value = F.col(_SOURCE[name])

@@ -20,14 +20,15 @@ def rank_topk(
     tie: str = "doc_id",
     ascending: bool = False,
     spread: int = 16,
+    tie_descending: bool = False,
 ) -> DataFrame:
     """Keep the ``k`` best rows of every group and add ``rank`` (bigint from 1).
 
-    Ties go to the smaller ``tie`` value.  A group may hold a third of all rows, so
+    Ties go to the smaller ``tie`` value, or to the larger one.  A group may hold a third of all rows, so
     the cut is made twice: first inside ``spread`` hash slices of the group, then over
     the at most ``spread * k`` survivors.  No task ever sorts a whole group, for any k.
     """
-    order = [F.col(score).asc() if ascending else F.col(score).desc(), F.col(tie).asc()]
+    order = [F.col(score).asc() if ascending else F.col(score).desc(), F.col(tie).desc() if tie_descending else F.col(tie).asc()]
     slice_of = F.pmod(F.xxhash64(F.col(tie)), F.lit(spread))
     inner = Window.partitionBy(group, "_slice").orderBy(*order)
     outer = Window.partitionBy(group).orderBy(*order)

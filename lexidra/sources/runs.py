@@ -28,8 +28,23 @@ def write_run(run: DataFrame, path: str) -> None:
 
 
 def read_run(spark: SparkSession, path: str) -> DataFrame:
-    """``{query: {doc: score}}`` JSON as long rows ``(query_id, doc_id, score)`` with string ids."""
-    nested = spark.read.text(path).select(F.from_json("value", RUN_JSON_TYPE).alias("run"))
+    """``{query: {doc: score}}`` JSON as long rows ``(query_id, doc_id, score)`` with string ids.
+
+    The files may hold one object for all queries, on one line or indented, or an object a line.
+    They are cut behind closing braces, which is behind the hits of a query, so the tasks share
+    even a single line.  Where an id holds such a brace itself, lines are read whole.  Anything
+    but such objects is refused when it is read.
+    """
+    records = spark.read.text(path, lineSep="}")
+    plain = F.regexp_replace("value", r"\\.", "")
+    quotes = F.length(plain) - F.length(F.replace(plain, F.lit('"'), F.lit("")))
+    if records.where(quotes % 2 == 1).isEmpty():
+        # What opens or goes on with the object around a query's hits.
+        hits = F.regexp_replace("value", r"^[\s,{]*", "")
+        texts = records.select(hits.alias("hits")).where("hits <> ''").select(F.concat(F.lit("{"), "hits", F.lit("}}")).alias("value"))
+    else:
+        texts = spark.read.text(path).where("trim(value) <> ''")
+    nested = texts.select(F.from_json("value", RUN_JSON_TYPE, {"mode": "FAILFAST"}).alias("run"))
     return nested.select(F.explode("run").alias("query_id", "hits")).select(
         "query_id", F.explode("hits").alias("doc_id", "score")
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexidra.operators import evaluation
 from lexidra.plans.lexical import evaluate_bm25
@@ -28,8 +29,15 @@ def _single(measure: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[S
     return query
 
 
+def evaluate_run_descending_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same run with whole scores, so that many hits are tied."""
+    run = bm25_search(tables.queries(spark, sf_dir), tables.corpus(spark, sf_dir), DEPTH)
+    return evaluation.evaluate_run(tables.gold(spark, sf_dir), run.withColumn("score", F.floor("score").cast("double")), ties="descending")
+
+
 QUERIES = {
     "evaluate_run": evaluate_run,
+    "evaluate_run_descending_ties": evaluate_run_descending_ties,
     "ndcg_at_k": _single(evaluation.ndcg_at_k),
     "map_at_k": _single(evaluation.map_at_k),
     "recall_at_k": _single(evaluation.recall_at_k),
@@ -38,7 +46,7 @@ QUERIES = {
 }
 
 
-def metrics_sql(run: str, qrels: str) -> str:
+def metrics_sql(run: str, qrels: str, ties: str = "ASC") -> str:
     """All measures of ``run(query_id, doc_id, score)`` against ``qrels(query_id, doc_id, rel)``."""
 
     def mean(value: str, only: str = "retrieved") -> str:
@@ -47,7 +55,7 @@ def metrics_sql(run: str, qrels: str) -> str:
 
     return f"""(WITH run0 AS ({run}), qr AS ({qrels}),
       hits AS (SELECT query_id, doc_id, rank FROM (SELECT query_id, doc_id,
-          row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank
+          row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id {ties}) AS rank
           FROM run0 WHERE CAST(query_id AS VARCHAR) <> CAST(doc_id AS VARCHAR)) WHERE rank <= 1000),
       rel AS (SELECT h.query_id, h.rank, q.rel, count(*) OVER (PARTITION BY h.query_id ORDER BY h.rank) AS seen
           FROM hits h JOIN qr q ON h.query_id = q.query_id AND h.doc_id = q.doc_id WHERE q.rel > 0),
@@ -77,6 +85,8 @@ METRICS_SQL = f"SELECT metric, k, value FROM {metrics_sql(BM25_SQL, _GOLD)}"
 
 ORACLE = {
     "evaluate_run": METRICS_SQL,
+    "evaluate_run_descending_ties": f"""SELECT metric, k, value FROM
+        {metrics_sql(f'SELECT query_id, doc_id, floor(score) AS score FROM ({BM25_SQL})', _GOLD, 'DESC')}""",
     **{
         key: f"{METRICS_SQL} WHERE metric = '{name}'"
         for key, name in (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import os
 
@@ -83,6 +84,46 @@ def test_run_files(spark, tmp_path):
     assert R.read_run(spark, str(tmp_path / "whole.json")).count() == 3
 
 
+@pytest.mark.parametrize("indent", [None, 1])
+def test_one_object_of_all_queries_is_many_tasks(spark, tmp_path, indent):
+    run = {f'q "{i}\\\\': {f"d{j}": (i * j) / 8 for j in range(i % 5)} for i in range(400)}
+    text = json.dumps(run, indent=indent)
+    (tmp_path / "run.json").write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        rows = R.read_run(spark, str(tmp_path / "run.json"))
+        found = [(r.query_id, r.doc_id, r.score) for r in rows.collect()]
+        tasks = rows.select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(found) == sorted((q, d, s) for q, hits in run.items() for d, s in hits.items())
+    assert tasks > 3
+
+
+def test_run_files_with_braces_and_errors(spark, tmp_path):
+    run = {"a}": {"}": 1.0, "x": 2.0}, "{b": {"c": 0.5}, "none": {}}
+    (tmp_path / "braces.json").write_text(json.dumps(run))
+    found = {(r.query_id, r.doc_id, r.score) for r in R.read_run(spark, str(tmp_path / "braces.json")).collect()}
+    assert found == {("a}", "}", 1.0), ("a}", "x", 2.0), ("{b", "c", 0.5)}
+    (tmp_path / "empty.json").write_text("{}\n")
+    assert R.read_run(spark, str(tmp_path / "empty.json")).isEmpty()
+    (tmp_path / "bad.json").write_text('{"q": {"d": "high"}}')
+    with pytest.raises(Exception, match="MALFORMED|Malformed"):
+        R.read_run(spark, str(tmp_path / "bad.json")).collect()
+
+
+def test_order_of_ties(spark):
+    run = spark.createDataFrame([(0, d, 1.0) for d in range(1, 6)] + [(0, 9, 2.0)], "query_id bigint, doc_id bigint, score double")
+    qrels = spark.createDataFrame([(0, 5, 1)], "query_id bigint, doc_id bigint, rel int")
+    for ties, rank in (("ascending", 6), ("descending", 2)):
+        rows = evaluation.evaluate_run(qrels, run, (1, 3, 10), "mrr", ties=ties).collect()
+        assert {r.k: r.value for r in rows} == {k: round(1 / rank, 5) if k >= rank else 0.0 for k in (1, 3, 10)}
+        hits = evaluation.judged_hits(run, qrels, 2, ties).orderBy("rank").collect()
+        assert [r.doc_id for r in hits] == ([9, 1] if ties == "ascending" else [9, 5])
+    with pytest.raises(ValueError):
+        evaluation.evaluate_run(qrels, run, ties="random")
+
+
 def test_index_generations(spark, tmp_path):
     root = str(tmp_path / "index")
     first = spark.createDataFrame([("a", 0, 1.0), ("b", 0, 2.0)], POSTING)
