@@ -66,45 +66,70 @@ def relative_distance_distortion(
     """Per batch: ``alpha * ||G_x - G_z||_F / n`` of the row-normalised dot-product matrices.
 
     ``rows(batch, id, x, z)``.  Row ``i`` of each matrix is divided by its diagonal entry; a
-    zero vector makes the batch's value null.  A batch is cut into blocks of ``BLOCK_ROWS`` rows;
-    blocks meet in an equality join on the batch, are multiplied inside the task, and only one
-    squared sum per block pair comes out.
+    zero vector makes the batch's value null.  A batch is cut into blocks of about ``BLOCK_ROWS`` rows.
+    A batch of one block is multiplied as it is.  Of a larger one no pair of blocks ever meets: with
+    ``w = (x, z)`` and ``u = (x / |x|^2, -z / |z|^2)``, row ``i`` adds ``u_i' (sum w w') u_i``, so one
+    sum of moments and one quadratic form a row give the norm.  There, values below about 1e-7 of
+    the norms of both matrices are rounding.
     """
     in_batch = rows.groupBy(batch).agg(F.count("*").alias("_n"))
+    n_blocks = F.ceil(F.col("_n") / F.lit(BLOCK_ROWS))
     blocks = (
         rows.join(in_batch, batch)
-        .withColumn("_block", F.pmod(F.xxhash64(id_col), F.ceil(F.col("_n") / F.lit(BLOCK_ROWS))))
-        .groupBy(F.col(batch).alias("batch_id"), "_n", "_block")
+        .withColumn("_block", F.pmod(F.xxhash64(id_col), n_blocks))
+        .groupBy(F.col(batch).alias("batch_id"), "_n", n_blocks.alias("blocks"), "_block")
         .agg(F.collect_list(F.struct(as_double(x).alias("x"), as_double(z).alias("z"))).alias("p"))
-        .select("batch_id", "_n", F.size("p").alias("m"), F.flatten("p.x").alias("x"), F.flatten("p.z").alias("z"))
+        .select("batch_id", F.col("_n").alias("n"), "blocks", F.size("p").alias("m"), F.flatten("p.x").alias("x"), F.flatten("p.z").alias("z"))
     )
-    other = blocks.select("batch_id", F.col("m").alias("m2"), F.col("x").alias("x2"), F.col("z").alias("z2"))
-    pairs = blocks.withColumnRenamed("_n", "n").join(other, "batch_id")
-
-    def squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            out = []
-            for i in range(part.num_rows):
-                xa, za = (_rows(part, i, name, "m") for name in ("x", "z"))
-                xb, zb = (_rows(part, i, name, "m2") for name in ("x2", "z2"))
-                dx, dz = (xa * xa).sum(axis=1, keepdims=True), (za * za).sum(axis=1, keepdims=True)
-                if (dx == 0).any() or (dz == 0).any():
-                    out.append(None)
-                    continue
-                difference = (xa @ xb.T) / dx - (za @ zb.T) / dz
-                out.append(float((difference * difference).sum()))
-            yield pa.RecordBatch.from_arrays(
-                [part.column("batch_id"), part.column("n"), pa.array(out, pa.float64())], names=["batch_id", "n", "s"]
-            )
-
+    single, several = blocks.where("blocks = 1"), blocks.where("blocks > 1")
     kind = rows.schema[batch].dataType.simpleString()
-    summed = pairs.mapInArrow(squares, f"batch_id {kind}, n bigint, s double")
+    moments = several.mapInArrow(_moments, f"batch_id {kind}, place int, value double")
+    # Sums of d x d numbers, combined before the shuffle.
+    summed = moments.groupBy("batch_id", "place").agg(F.sum("value").alias("value"))
+    packed = F.array_sort(F.collect_list(F.struct("place", "value")))
+    matrices = summed.groupBy("batch_id").agg(packed.alias("p")).select("batch_id", F.col("p.value").alias("moments"))
+    squares = f"batch_id {kind}, n bigint, s double"
+    met = several.join(matrices, "batch_id")
+    both = single.withColumn("moments", F.lit(None).cast("array<double>")).unionByName(met).mapInArrow(_squares, squares)
     total = F.when(F.count_if(F.col("s").isNull()) == 0, F.sum("s"))
-    return summed.groupBy("batch_id", "n").agg(total.alias("s")).select(
+    return both.groupBy("batch_id", "n").agg(total.alias("s")).select(
         "batch_id", (F.lit(alpha) * F.sqrt("s") / F.col("n")).alias("distortion")
     )
 
 
+def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(batch_id, place, value)``: the entries of ``sum w w'`` over the rows of a block, row by row."""
+    for part in batches:
+        for i in range(part.num_rows):
+            w = np.hstack([_rows(part, i, name, "m") for name in ("x", "z")])
+            values = (w.T @ w).ravel()
+            ids = part.column("batch_id").take(pa.array(np.full(len(values), i)))
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array(np.arange(len(values), dtype=np.int32)), pa.array(values)], names=["batch_id", "place", "value"]
+            )
+
+
+def _squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Squared differences in the rows of a block: against itself, or by the moments of its batch."""
+    for part in batches:
+        out = []
+        for i in range(part.num_rows):
+            xs, zs = (_rows(part, i, name, "m") for name in ("x", "z"))
+            dx, dz = (xs * xs).sum(axis=1, keepdims=True), (zs * zs).sum(axis=1, keepdims=True)
+            if (dx == 0).any() or (dz == 0).any():
+                out.append(None)
+            elif part.column("moments").is_null()[i].as_py():
+                difference = (xs @ xs.T) / dx - (zs @ zs.T) / dz
+                out.append(float((difference * difference).sum()))
+            else:
+                u = np.hstack([xs / dx, -zs / dz])
+                sums = part.column("moments")[i].values.to_numpy(zero_copy_only=False).reshape(u.shape[1], -1)
+                out.append(float(np.maximum(((u @ sums) * u).sum(axis=1), 0.0).sum()))
+        yield pa.RecordBatch.from_arrays(
+            [part.column("batch_id"), part.column("n"), pa.array(out, pa.float64())], names=["batch_id", "n", "s"]
+        )
+
+
 def _rows(part: pa.RecordBatch, i: int, name: str, size: str) -> np.ndarray:
     """Matrix of the flattened vectors in column ``name`` of row ``i``."""
     return part.column(name)[i].values.to_numpy(zero_copy_only=False).reshape(part.column(size)[i].as_py(), -1)

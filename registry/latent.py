@@ -105,15 +105,24 @@ def flops_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(report("flops").alias("flops"))
 
 
-def relative_distance_distortion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors against their first-layer images, batch by batch."""
+def _distortion(spark: SparkSession, sf_dir: str, size: int | None) -> DataFrame:
     rows = tables.vectors(spark, sf_dir).select("vec_id", F.col("vec").alias("x"), F.col("vec").alias("z"))
     images = encoders.mlp_score(rows, _layers(spark)[:1], vec_col="z")
-    batched = batch_id(images, "vec_id", BATCH)
+    batched = batch_id(images, "vec_id", size) if size else images.withColumn("batch_id", F.lit(0).cast("bigint"))
     out = stats.relative_distance_distortion(batched, ALPHA)
     return out.select("batch_id", report("distortion").alias("distortion"))
 
 
+def relative_distance_distortion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors against their first-layer images, batch by batch."""
+    return _distortion(spark, sf_dir, BATCH)
+
+
+def distortion_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over one batch of all vectors."""
+    return _distortion(spark, sf_dir, None)
+
+
 def latent_staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One batch per label, in label order."""
     labels = tables.vectors(spark, sf_dir).select("vec_id", F.col("label").alias("batch"))
@@ -199,6 +208,7 @@ QUERIES = {
     "l1_penalty": l1_penalty,
     "flops_penalty": flops_penalty,
     "relative_distance_distortion": relative_distance_distortion,
+    "distortion_of_all": distortion_of_all,
     "latent_staleness": latent_staleness,
     "layer_norm": layer_norm,
     "mlp_score": mlp_score,
@@ -274,6 +284,19 @@ def _sampled_sql(source: str, name: str) -> str:
       {name}z AS MATERIALIZED (SELECT vec_id, dim, z AS weight FROM {name}s JOIN {name}q USING (vec_id) WHERE (z <= lo OR z >= hi) AND z <> 0)"""
 
 
+def _distortion_sql(batch: str) -> str:
+    return f"""WITH {VECTORS}, {_layer_sql('x', _G0, _C0, 'h')},
+        b AS (SELECT vec_id, {batch} AS batch_id FROM embeddings),
+        gx AS (SELECT batch_id, a.vec_id AS i, c.vec_id AS j, sum(a.x * c.x) AS g FROM x a JOIN b USING (vec_id)
+          JOIN (SELECT * FROM x JOIN b USING (vec_id)) c USING (batch_id, dim) GROUP BY ALL),
+        gz AS (SELECT batch_id, a.vec_id AS i, c.vec_id AS j, sum(a.x * c.x) AS g FROM h a JOIN b USING (vec_id)
+          JOIN (SELECT * FROM h JOIN b USING (vec_id)) c USING (batch_id, dim) GROUP BY ALL),
+        rx AS (SELECT *, g / max(g) FILTER (i = j) OVER (PARTITION BY i) AS r FROM gx),
+        rz AS (SELECT *, g / max(g) FILTER (i = j) OVER (PARTITION BY i) AS r FROM gz)
+        SELECT batch_id, {sql_report('sqrt(sum((rx.r - rz.r) * (rx.r - rz.r))) / count(DISTINCT rx.i)')} AS distortion
+        FROM rx JOIN rz USING (batch_id, i, j) GROUP BY batch_id"""
+
+
 ORACLE = {
     "variational_search": f"""WITH {LABEL_QUERIES}, means AS (SELECT CAST(query_id AS BIGINT) AS vec_id, dim, x FROM lq),
         {_sampled_sql('x', 'doc_')}, {_sampled_sql('means', 'query_')},
@@ -298,16 +321,8 @@ ORACLE = {
     "flops_penalty": f"""WITH {_ENCODED}, n AS (SELECT count(*)::DOUBLE AS n FROM embeddings),
         m AS (SELECT dim, sum(abs(weight)) / any_value(n) AS m FROM xp, n GROUP BY dim)
         SELECT {sql_report('sum(m * m)')} AS flops FROM m""",
-    "relative_distance_distortion": f"""WITH {VECTORS}, {_layer_sql('x', _G0, _C0, 'h')},
-        b AS (SELECT vec_id, CAST(floor((row_number() OVER (ORDER BY vec_id) - 1) / {BATCH}) AS BIGINT) AS batch_id FROM embeddings),
-        gx AS (SELECT batch_id, a.vec_id AS i, c.vec_id AS j, sum(a.x * c.x) AS g FROM x a JOIN b USING (vec_id)
-          JOIN (SELECT * FROM x JOIN b USING (vec_id)) c USING (batch_id, dim) GROUP BY ALL),
-        gz AS (SELECT batch_id, a.vec_id AS i, c.vec_id AS j, sum(a.x * c.x) AS g FROM h a JOIN b USING (vec_id)
-          JOIN (SELECT * FROM h JOIN b USING (vec_id)) c USING (batch_id, dim) GROUP BY ALL),
-        rx AS (SELECT *, g / max(g) FILTER (i = j) OVER (PARTITION BY i) AS r FROM gx),
-        rz AS (SELECT *, g / max(g) FILTER (i = j) OVER (PARTITION BY i) AS r FROM gz)
-        SELECT batch_id, {sql_report('sqrt(sum((rx.r - rz.r) * (rx.r - rz.r))) / count(DISTINCT rx.i)')} AS distortion
-        FROM rx JOIN rz USING (batch_id, i, j) GROUP BY batch_id""",
+    "relative_distance_distortion": _distortion_sql(f"CAST(floor((row_number() OVER (ORDER BY vec_id) - 1) / {BATCH}) AS BIGINT)"),
+    "distortion_of_all": _distortion_sql("CAST(0 AS BIGINT)"),
     "latent_staleness": f"""WITH {_ENCODED}, nb AS (SELECT max(label) + 1 AS n FROM embeddings),
         last AS (SELECT dim, max(label) AS last FROM xp JOIN embeddings USING (vec_id) GROUP BY dim)
         SELECT r.range AS latent, CAST(nb.n - coalesce(last.last, 0) AS BIGINT) AS staleness

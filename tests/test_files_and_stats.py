@@ -299,6 +299,23 @@ def test_distortion(spark, block, monkeypatch):
     assert stats.relative_distance_distortion(empty).first().distortion is None
 
 
+def test_distortion_of_batches_of_several_sizes(spark, monkeypatch):
+    monkeypatch.setattr(stats, "BLOCK_ROWS", 8)
+    rng = np.random.default_rng(9)
+    sizes, want, data = {0: 1, 1: 8, 2: 50, 3: 200}, {}, []
+    for batch, n in sizes.items():
+        x = rng.normal(size=(n, 5)) + 1.0
+        z = x if batch == 3 else rng.normal(size=(n, 3)) + 1.0
+        gx, gz = x @ x.T, z @ z.T
+        want[batch] = np.linalg.norm(gx / np.diag(gx)[:, None] - gz / np.diag(gz)[:, None]) / n
+        data += [(batch, i, x[i].tolist(), z[i].tolist()) for i in range(n)]
+    # Batches of equal widths share a table.
+    for chosen in ([0, 1, 2], [3]):
+        rows = spark.createDataFrame([r for r in data if r[0] in chosen], "batch_id int, vec_id int, x array<double>, z array<double>")
+        got = {r.batch_id: r.distortion for r in stats.relative_distance_distortion(rows.repartition(7)).collect()}
+        assert got == {b: pytest.approx(want[b], abs=1e-7) for b in chosen}
+
+
 def test_penalties_count_empty_rows(spark):
     postings = spark.createDataFrame([("a", 0, 2.0), ("b", 0, -1.0), ("a", 1, 1e-4)], POSTING)
     rows = docs(spark, 0, 1, 2, 3)
