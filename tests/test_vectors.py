@@ -40,7 +40,7 @@ def data():
 
 
 @pytest.mark.parametrize("metric", ["l2", "dot"])
-@pytest.mark.parametrize("plan", ["items", "queries", "slices", "cells"])
+@pytest.mark.parametrize("plan", ["items", "queries", "grid", "cells"])
 def test_exact_plans_equal_brute_force(spark, data, metric, plan, monkeypatch):
     q, x = data
     queries, items = frame(spark, "query_id", q), frame(spark, "item_id", x)
@@ -51,7 +51,7 @@ def test_exact_plans_equal_brute_force(spark, data, metric, plan, monkeypatch):
     elif plan == "queries":
         got = neighbors.nearest(queries, items, 7, metric, ship_bytes=200 * 48)
     else:
-        ship, slices = (59 * 48, 100) if plan == "slices" else (48, 0)
+        ship, slices = (59 * 48, 100) if plan == "grid" else (48, 0)
         got = neighbors.nearest(queries, items, 7, metric, ship_bytes=ship, cells=16, max_slices=slices)
     assert triples(got) == want
 
