@@ -1,13 +1,14 @@
 """Encoders: token vectors, linear and multi-layer maps, layer norm, Gaussian sampling.
 
 A neural encoder is plugged in as a Python function over Arrow batches
-(``encode_tokens``, ``encode_texts``).  ``hash_token_vectors`` is the built-in stand-in:
+(``encode_tokens``, ``encode_tokens_with``, ``encode_texts``).  ``hash_token_vectors`` is the built-in stand-in:
 plain column expressions whose values are multiples of 2**-10, so that every later sum is
 exact and independent of partitioning.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -15,6 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.resource import ResourceProfile
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +33,9 @@ STATIC_SCALE = 128.0
 LAYER_NORM_EPS = 1e-5
 DECODE_STEP = 256
 ENCODE_BATCH = 128
+# Tokens of a padded batch, and rows among which documents of similar length are brought together.
+ENCODE_TOKENS = 1 << 14
+BUCKET_ROWS = 4096
 
 
 # --- token and text vectors ---------------------------------------------------------------
@@ -147,6 +152,78 @@ def encode_tokens(
     return tokenized.select("doc_id", "tokens").mapInPandas(run, schema)
 
 
+_LOADED: dict[str, Callable] = {}
+
+
+def _loaded(key: str, factory: Callable[[], Callable]) -> Callable:
+    """The encoder that ``factory`` makes, made once in this worker process, whatever the number of its tasks."""
+    if key not in _LOADED:
+        _LOADED[key] = factory()
+    return _LOADED[key]
+
+
+def encode_tokens_with(
+    tokenized: DataFrame,
+    factory: Callable[[], Callable[[list[list[str]]], list[np.ndarray]]],
+    batch_tokens: int = ENCODE_TOKENS,
+    bucket_rows: int = BUCKET_ROWS,
+    profile: ResourceProfile | None = None,
+) -> DataFrame:
+    """``encode_tokens`` for an encoder that is costly to load and pads its batches.
+
+    ``factory`` runs once per Python worker, and the encoder it returns serves all later tasks there.
+    Documents are ordered by length among ``bucket_rows`` neighbours and cut where the longest one
+    times their number would pass ``batch_tokens``, so little is spent on padding; a longer document is
+    a batch of its own.  A document without tokens gives no row and is never passed on.  ``profile`` asks for executors with, say, a GPU.
+    """
+    key = uuid.uuid4().hex
+    id_type = tokenized.schema["doc_id"].dataType
+
+    def encoded(encoder: Callable, batch: pa.RecordBatch) -> pa.RecordBatch:
+        tokens = batch.column("tokens")
+        vectors = encoder(tokens.to_pylist())
+        sizes = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
+        if [len(v) for v in vectors] != sizes.tolist():
+            raise ValueError("the encoder must return one vector per token")
+        places = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        ids = batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+        return pa.RecordBatch.from_arrays(
+            [ids, pa.array(np.repeat(sizes, sizes)), pa.array(places), tokens.flatten(), vector_column(np.vstack(vectors))],
+            names=["doc_id", "dl", "pos", "token", "vec"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _loaded(key, factory)
+        for whole in batches:
+            for start in range(0, whole.num_rows, bucket_rows):
+                near = whole.slice(start, bucket_rows)
+                sizes = pc.fill_null(pc.list_value_length(near.column("tokens")), 0).to_numpy(zero_copy_only=False)
+                order = np.argsort(sizes, kind="stable")
+                order = order[sizes[order] > 0]
+                for rows in _cut_by_length(order, sizes, batch_tokens):
+                    yield encoded(encoder, near.take(pa.array(rows)))
+
+    schema = T.StructType(
+        [
+            T.StructField("doc_id", id_type),
+            T.StructField("dl", T.LongType()),
+            T.StructField("pos", T.LongType()),
+            T.StructField("token", T.StringType()),
+            T.StructField("vec", T.ArrayType(T.DoubleType())),
+        ]
+    )
+    return tokenized.select("doc_id", "tokens").mapInArrow(run, schema, profile=profile)
+
+
+def _cut_by_length(order: np.ndarray, sizes: np.ndarray, batch_tokens: int) -> Iterator[np.ndarray]:
+    """Cut rows in ascending order of length where the padded size of a batch would pass ``batch_tokens``."""
+    start = 0
+    for end in range(1, len(order) + 1):
+        if end == len(order) or sizes[order[end]] * (end + 1 - start) > batch_tokens:
+            yield order[start:end]
+            start = end
+
+
 def encode_texts(
     docs: DataFrame,
     encode_fun: Callable[[list[str]], np.ndarray],

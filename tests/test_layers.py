@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -111,3 +114,31 @@ def test_variational_latents_repeat_and_differ_by_seed(spark):
     assert encoded(seed=1) == encoded(seed=1) != encoded(seed=2)
     assert len(encoded()) == 30 and len(encoded(threshold=0.25)) < 30
     assert all(abs(w) >= 0.5 for _, _, w in encoded(threshold=0.5, zeroing="threshold"))
+
+
+def test_encoder_factory(spark):
+    rows = [(i, ["t"] * (i * 7 % 23)) for i in range(200)] + [(200, None), (201, ["t"] * 500)]
+    tokens = spark.createDataFrame(rows, "doc_id bigint, tokens array<string>").repartition(6)
+
+    def load():
+        made = uuid.uuid4().int % (1 << 50)
+
+        def encode(lists):
+            longest = max(map(len, lists))
+            # One document may be longer than a batch; among others nothing is far shorter than the longest.
+            assert len(lists) == 1 or longest * len(lists) <= 64
+            return [np.full((len(t), 2), [float(made), float(os.getpid())]) for t in lists]
+
+        return encode
+
+    vectors = encoders.encode_tokens_with(tokens, load, batch_tokens=64, bucket_rows=50)
+    got = vectors.collect()
+    assert sorted((r.doc_id, r.pos, r.dl) for r in got) == sorted((i, p, len(t)) for i, t in rows if t for p in range(len(t)))
+    # Each worker loads its encoder once, however many tasks it serves.
+    assert len({tuple(r.vec) for r in got}) == len({r.vec[1] for r in got})
+
+
+def test_encoder_factory_refuses_a_wrong_number_of_vectors(spark):
+    tokens = spark.createDataFrame([(0, ["a", "b"])], "doc_id bigint, tokens array<string>")
+    with pytest.raises(Exception, match="one vector per token"):
+        encoders.encode_tokens_with(tokens, lambda: lambda lists: [np.zeros((1, 2)) for _ in lists]).collect()
