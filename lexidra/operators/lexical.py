@@ -123,10 +123,17 @@ def bm25_search(
     partitions of frequent terms.  The corpus is tokenized once per use of the counts, which
     moves no data, rather than shuffled to be used twice.
     """
-    terms = query_term_counts(queries)
     tokenized = doc_tokens(docs, text_col=text_col)
     frequencies = term_frequencies(tokenized)
-    asked = document_frequencies(frequencies).join(terms.select("term").distinct(), "term", "left_semi")
-    matched = frequencies.join(terms.join(asked, "term"), "term").withColumn("_totals", corpus_totals(tokenized))
+    counts, totals = document_frequencies(frequencies), corpus_totals(tokenized)
+    return bm25_rank(query_term_counts(queries), frequencies, counts, totals, k, k1, b)
+
+
+def bm25_rank(
+    terms: DataFrame, frequencies: DataFrame, counts: DataFrame, totals: Column, k: int, k1: float = BM25_K1, b: float = BM25_B
+) -> DataFrame:
+    """Ranked hits of ``terms(query_id, term, weight)`` from ``(doc_id, dl, term, tf)``, ``(term, df)`` and ``(n_docs, avg_dl)``."""
+    asked = counts.join(terms.select("term").distinct(), "term", "left_semi")
+    matched = frequencies.join(terms.join(asked, "term"), "term").withColumn("_totals", totals)
     scored = matched.groupBy("query_id", "doc_id").agg(score_sum(F.col("weight") * _bm25_weight(k1, b)).alias("score"))
     return rank_topk(scored, k)

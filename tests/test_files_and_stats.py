@@ -10,13 +10,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexidra.operators import evaluation, stats
+from lexidra.operators import evaluation, lexical, stats
 from lexidra.operators.postings import duplicate_postings, index_stats
 from lexidra.session import arrow_if_small, cut_lineage, shared_dir
 from lexidra.sources import corpus as C
 from lexidra.sources import index_store as I
 from lexidra.sources import runs as R
-from lexidra.streaming.append import append_stream
+from lexidra.sources import term_statistics
+from lexidra.streaming.append import append_stream, statistics_stream
 
 POSTING = "term string, doc_id bigint, weight double"
 
@@ -339,3 +340,47 @@ def test_size_checks_and_lineage(spark):
     assert arrow_if_small(spark.range(11), 8, 80) is None
     kept = cut_lineage(spark.range(5).withColumn("x", F.col("id") * 2))
     assert kept.count() == 5 and shared_dir(spark)
+
+
+def test_statistics_grow_by_a_stream(spark, tmp_path):
+    texts = ["a b a", "b c", None, "", "a", "c c c d", "e", "a e"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    source, root = str(tmp_path / "in"), str(tmp_path / "statistics")
+    for number in range(3):
+        rows.where(F.col("doc_id") % 3 == number).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+
+    def run(state):
+        statistics_stream(stream, root, str(tmp_path / state)).trigger(availableNow=True).start().awaitTermination()
+
+    def found():
+        return sorted(map(tuple, term_statistics.stored_statistics(spark, root).collect()))
+
+    run("state")
+    whole = lexical.doc_tokens(rows.fillna("", "text"))
+    want = sorted(map(tuple, lexical.collection_statistics(whole).collect()))
+    assert len(list((tmp_path / "statistics" / "totals").glob("writer=*/epoch=*"))) == 3
+    assert found() == want
+    assert next(iter(want))[5] == 8
+    with pytest.raises(Exception, match="hold a document"):
+        run("state of another stream")
+    assert found() == want
+    # A batch that died before its totals does not count and is written anew.
+    epoch = next(iter((tmp_path / "statistics" / "totals").glob("writer=*/epoch=1")))
+    (epoch / "_SUCCESS").unlink()
+    assert len(found()) < len(want)
+    writer = epoch.parent.name.split("=")[1]
+    ids = [r.doc_id for r in spark.read.parquet(f"{root}/lengths/writer={writer}/epoch=1").collect()]
+    term_statistics.append_statistics(whole.where(F.col("doc_id").isin(ids)), root, writer, 1)
+    assert found() == want
+
+
+def test_statistics_refuse_repeated_documents(spark, tmp_path):
+    root = str(tmp_path / "statistics")
+    with pytest.raises(FileNotFoundError):
+        term_statistics.stored_totals(spark, root)
+    twice = spark.createDataFrame([(1, ["a"]), (1, ["b"])], "doc_id bigint, tokens array<string>")
+    with pytest.raises(ValueError, match="twice"):
+        term_statistics.append_statistics(twice, root)
+    term_statistics.append_statistics(twice.limit(0), root)
+    assert term_statistics.stored_statistics(spark, root).count() == 0
