@@ -146,6 +146,23 @@ def sparta_whole_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sparta(passages, hash_static_vectors(words)).withColumn("weight", report("weight"))
 
 
+def _document_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = tokenize(tables.corpus(spark, sf_dir)).select(F.col("token").alias("term")).distinct()
+    return sparta(text_token_vectors(tables.corpus(spark, sf_dir)), hash_static_vectors(words))
+
+
+def sparta_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents against every word of theirs."""
+    return _document_terms(spark, sf_dir).withColumn("weight", report("weight"))
+
+
+def token_bag_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages' bags of tokens against documents that have terms of the whole vocabulary."""
+    tokens = tokenize(tables.queries(spark, sf_dir), "query_id").select("query_id", "token")
+    run = S.token_bag_search(tokens, _document_terms(spark, sf_dir), DEPTH)
+    return run.withColumn("score", report("score"))
+
+
 def sparta_pooling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sparta_postings(spark, sf_dir).withColumn("weight", report("weight"))
 
@@ -175,6 +192,8 @@ QUERIES = {
     "splade_search": splade_search,
     "sparta_pooling": sparta_pooling,
     "sparta_whole_vocabulary": sparta_whole_vocabulary,
+    "sparta_documents": sparta_documents,
+    "token_bag_documents": token_bag_documents,
     "token_bag_search": token_bag_search,
 }
 

@@ -241,6 +241,44 @@ def test_sparta_with_and_without_slices(spark, token_vecs):
         assert all(found[key] == pytest.approx(want[key], abs=1e-8) for key in want)
 
 
+@pytest.mark.parametrize("ship", [1 << 20, 200])
+@pytest.mark.parametrize("k", [1, 7, 60, 400])
+def test_sparta_equals_brute_force(spark, k, ship, monkeypatch):
+    monkeypatch.setattr(pooling, "BLOCK_POSITIONS", 5)
+    monkeypatch.setattr(pooling, "TERM_STEP", 16)
+    monkeypatch.setattr(pooling, "PIVOTS", 9)
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 20)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 4)) * 3
+    x = np.round(centres[rng.integers(0, 12, 300)] + rng.normal(size=(300, 4)) / 4, 3)
+    x[::3] = x[0]  # one vector is that of a third of all terms
+    vocabulary = spark.createDataFrame([(f"t{i:03d}", v.tolist()) for i, v in enumerate(x)], "term string, vec array<double>")
+    lengths = {0: 1, 1: 23, 2: 60, 3: 4}
+    texts = {d: np.round(centres[rng.integers(0, 12, n)] + rng.normal(size=(n, 4)), 3) for d, n in lengths.items()}
+    texts[3][:] = 0.0
+    rows = [(d, len(v), p, row.tolist()) for d, v in texts.items() for p, row in enumerate(v)]
+    token_vecs = spark.createDataFrame(rows, "doc_id bigint, dl bigint, pos bigint, vec array<double>")
+    want = {}
+    for d, v in texts.items():
+        best = sorted((-s, f"t{i:03d}") for i, s in enumerate(np.floor((v @ x.T).max(axis=0) * 1e9 + 0.5) / 1e9) if s > 0)[:k]
+        want.update({(d, t): np.log1p(-s) for s, t in best})
+    found = {(r.doc_id, r.term): r.weight for r in pooling.sparta_pooling(token_vecs, vocabulary, k, ship_bytes=ship).collect()}
+    assert found.keys() == want.keys()
+    assert all(found[key] == pytest.approx(want[key], abs=1e-8) for key in want)
+
+
+def test_tiles_leave_most_terms_out(monkeypatch):
+    monkeypatch.setattr(pooling, "TERM_STEP", 256)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(60, 8)) * 4
+    x = centres[rng.integers(0, 60, 6000)] + rng.normal(size=(6000, 8)) / 8
+    v = centres[:3] + rng.normal(size=(3, 8))
+    rows, scores, visited = pooling.TermTiles(x).best(v, 20)
+    exact = np.floor((v @ x.T).max(axis=0) * 1e9 + 0.5) / 1e9
+    assert set(rows) == set(np.flatnonzero(exact >= np.sort(exact)[-20]))
+    assert visited < len(x) / 5
+
+
 def test_splade_and_mean_pooling(spark):
     logits = spark.createDataFrame(
         [(0, 0, "a", 1.0, 1), (0, 1, "a", 3.0, 0), (0, 1, "b", -2.0, 1), (1, 0, "a", 2.0, 1)],
