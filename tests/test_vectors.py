@@ -436,3 +436,13 @@ def test_models_of_few_vectors(spark):
     assert [r.inertia for r in clustering.elbow_curve(few, (3, 8)).orderBy("k").collect()] == [0.0, 0.0]
     with pytest.raises(ValueError):
         clustering.global_kmeans(few, 10**8)
+
+
+def test_latents_are_not_sent_through_the_driver(spark):
+    docs = spark.range(20).select(F.col("id").alias("vec_id"))
+    latents = docs.select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(599))).alias("dim"), F.lit(1.0).alias("weight"))
+    decoder = spark.range(600).select(F.col("id").alias("latent"), F.array(F.lit(0.5), F.lit(2.0)).alias("vec"))
+    bias = spark.createDataFrame([(0, 1.0), (1, -1.0)], "dim bigint, b double")
+    decoded = encoders.linear_decode(latents, decoder, bias, docs, 2)
+    assert "BroadcastHashJoin" not in decoded._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r.vec) for r in decoded.collect()} == {(301.0, 1199.0)} and decoded.count() == 20
