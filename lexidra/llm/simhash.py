@@ -26,6 +26,7 @@ from lexidra.llm.tables import slices, stored, utf8
 
 SEED = 42
 RADIUS = 3
+SHINGLE = 3
 BITS = 64
 GROUP_ROWS = 8192
 MOST_ROUTE_BITS = 16
@@ -116,21 +117,28 @@ def majority_bits(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int, copies: int = 1, carry: list[str] | None = None, distinct: bool = False) -> DataFrame:
+def fingerprints(
+    docs: DataFrame, shingle: int, copies: int = 1, carry: list[str] | None = None, distinct: bool = False, also: int | None = None
+) -> DataFrame:
     """``(doc_id, row, f0, f1, ...)``: ``copies`` fingerprints of 64 bits for every row of ``docs(doc_id, text)``.
 
     ``row`` is a struct of the columns in ``carry``.  With ``distinct`` a shingle counts once however often it repeats.
+    ``also`` adds ``whole``, the fingerprint of shingles of so many words, repeats included.
     """
-    names = [f"f{c}" for c in range(copies)]
+    names = [f"f{c}" for c in range(copies)] + ["whole"] * (also is not None)
+
+    def joined(own: list[np.ndarray], once: bool) -> tuple[np.ndarray, np.ndarray]:
+        own = [np.unique(h) for h in own] if once else own
+        return np.concatenate(own) if own else np.empty(0, dtype=np.uint64), np.array([len(h) for h in own], dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
-                own = [shingle_hashes(data, shingle) for data in utf8(batch.column(2))]
-                own = [np.unique(h) for h in own] if distinct else own
-                sizes = np.array([len(h) for h in own], dtype=np.int64)
-                hashes = np.concatenate(own) if own else np.empty(0, dtype=np.uint64)
+                data = utf8(batch.column(2))
+                hashes, sizes = joined([shingle_hashes(text, shingle) for text in data], distinct)
                 columns = [pa.array(majority_bits(mixed(hashes, c), sizes).view(np.int64)) for c in range(copies)]
+                if also is not None:
+                    columns.append(pa.array(majority_bits(*joined([shingle_hashes(text, also) for text in data], False)).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["doc_id", "row", *names])
 
     row = F.struct(*[F.col(f"`{c}`") for c in carry or ["doc_id"]]).alias("row")
@@ -299,7 +307,7 @@ def hex_digits(value: str) -> Column:
     return F.lower(F.lpad(F.hex(value), 16, "0"))
 
 
-def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) -> DataFrame:
+def simhash_components(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` of every row of ``docs(doc_id, text)``.
 
     Fingerprints link when they differ in at most ``radius`` bits; ``component_id`` is the
@@ -341,7 +349,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     """``(row, row_id, keep_id, kept)`` for every row of ``docs(doc_id, text, ...)``; ``row`` is the whole row.
 
     Near-duplicates have a Jaccard similarity of ``similarity`` or more on the sets of their
-    five-word shingles (a shorter text is one shingle).  Candidates are rows of which one of
+    five-word shingles (a shorter text is one shingle).  Candidates are rows that ``simhash_components``
+    links, and rows of which one of
     ``SPACES`` halves of fingerprints differ in at most ``HALF_RADIUS`` bits: that finds 95 % of
     the pairs at a similarity of 0.8 and 99 % at 0.85.  Pairs that all fingerprints together put
     below ``LOOSE`` are dropped, the others verified.  In a large group rows meet the first of
@@ -350,10 +359,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     An empty table gives an empty one.
     """
     names = [f"f{c}" for c in range(COPIES)]
-    rows = fingerprints(docs, NEAR_SHINGLE, COPIES, docs.columns, distinct=True)
+    rows = fingerprints(docs, NEAR_SHINGLE, COPIES, docs.columns, distinct=True, also=SHINGLE)
     rows = stored(rows.withColumn("row_id", F.monotonically_increasing_id()), "near-rows")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_id")).alias("best")
-    nodes = rows.groupBy(*names).agg(best).withColumn("node", F.monotonically_increasing_id())
+    keys = [*names, "whole"]
+    nodes = rows.groupBy(*keys).agg(best).withColumn("node", F.monotonically_increasing_id())
     nodes = stored(nodes, "near-nodes")
     low = (1 << 32) - 1
     halves = [F.col(n).bitwiseAND(F.lit(low)) for n in names] + [F.shiftrightunsigned(n, 32) for n in names]
@@ -365,7 +375,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     values = stored(values, "near-values")
     shared = values.where("n > 1").select("space", "value", F.col("node").alias("a"))
     equal = points.join(shared, ["space", "value"]).where("node <> a").select("a", F.col("node").alias("b"))
-    met = ball_pairs(values.drop("n"), 32, HALF_RADIUS, links=False, group_rows=HALF_GROUP_ROWS).unionByName(equal)
+    met = ball_pairs(values.drop("n"), 32, HALF_RADIUS, links=False, group_rows=HALF_GROUP_ROWS).unionByName(equal).unionByName(_whole_links(nodes))
     pairs = stored(met.distinct(), "near-pairs")
     links = _verified(pairs, nodes, rows, names, similarity)
     # Rows that meet only through others which they do not resemble: all that met anything and
@@ -378,11 +388,19 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     roots = connected_components(links.unionByName(_verified(late, nodes, rows, names, similarity)))
     rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = rooted.groupBy("root").agg(F.min("best").alias("keep"))
-    classes = rooted.join(kept, "root").select(*names, F.col("keep.doc_id").alias("keep_id"), F.col("keep.row_id").alias("keep_row"))
-    narrow = rows.select("row_id", *names).join(classes, names).select("row_id", "keep_id", (F.col("row_id") == F.col("keep_row")).alias("kept"))
+    classes = rooted.join(kept, "root").select(*keys, F.col("keep.doc_id").alias("keep_id"), F.col("keep.row_id").alias("keep_row"))
+    narrow = rows.select("row_id", *keys).join(classes, keys).select("row_id", "keep_id", (F.col("row_id") == F.col("keep_row")).alias("kept"))
     return rows.select("row", "row_id").join(stored(narrow, "near-kept"), "row_id")
 
 
+def _whole_links(nodes: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` of ``nodes(node, whole)`` as ``simhash_components`` makes them: equal fingerprints are one point."""
+    points = stored(nodes.groupBy(F.col("whole").alias("value")).agg(F.min("node").alias("node")), "near-whole")
+    equal = nodes.join(points.select(F.col("value").alias("whole"), F.col("node").alias("a")), "whole")
+    equal = equal.where("node <> a").select("a", F.col("node").alias("b"))
+    return ball_pairs(points.select("node", F.lit(0).alias("space"), "value"), BITS, RADIUS, links=True, group_rows=GROUP_ROWS).unionByName(equal)
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, names: list[str], similarity: float) -> DataFrame:
     """The pairs of nodes whose texts have the similarity; those that their fingerprints put far below it are not read."""
     left = nodes.select(F.col("node").alias("a"), F.array(*names).alias("x"))
