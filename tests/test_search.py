@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +132,47 @@ def test_bm25_counts_repeated_query_tokens(spark):
     assert two[0][2] == pytest.approx(2 * one[0][2], abs=1e-8)
     stored = bm25_postings(doc_tokens(docs))
     assert hits(S.sparse_dot_search(query_term_counts(twice), stored, 5)) == two
+
+
+def test_documents_are_scored_in_their_tasks(spark):
+    """No sums of (query, document) are aggregated over a task or shuffled; the hits are those of the join."""
+    words = ["ash", "birch", "cedar", "elm", "fir", "oak"]
+    texts = [(i, " ".join(words[(i * j) % 6] for j in range(1 + i % 17))) for i in range(300)] + [(300, None), (301, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    queries = spark.createDataFrame([(0, "ash ash oak"), (1, "fir"), (2, "none"), (None, "elm birch")], "query_id long, text string")
+    found = bm25_search(queries, docs, 7)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "keys=[query_id" not in plan
+    columns = ["query_id", "doc_id", "score", "rank"]
+    want = sorted(map(str, bm25_search(queries, docs, 7, ship_bytes=0).select(columns).collect()))
+    assert sorted(map(str, found.select(columns).collect())) == want and len(want) == 21
+    assert "keys=[query_id" in bm25_search(queries, docs, 7, ship_bytes=0)._jdf.queryExecution().executedPlan().toString()
+    # Rows that share an id are one document, wherever they are.
+    twice = docs.unionByName(docs.where("doc_id % 3 = 0"))
+    want = sorted(map(str, bm25_search(queries, twice, 7, ship_bytes=0).select(columns).collect()))
+    assert sorted(map(str, bm25_search(queries, twice, 7).select(columns).collect())) == want
+
+
+def test_shipped_terms_score_like_joined_ones(spark):
+    rng = np.random.default_rng(5)
+    postings = [(f"t{t}", f"d{d:03}", float(rng.normal())) for d in range(200) for t in rng.choice(40, 12, replace=False)]
+    terms = [(f"q{q}", f"t{t}", float(rng.integers(-3, 4))) for q in range(6) for t in range(0, 50, q + 1)]
+    postings = spark.createDataFrame(postings, "term string, doc_id string, weight double").repartition(7, "term")
+    terms = spark.createDataFrame([*terms, ("q0", "t0", 1.0), ("q1", None, 1.0)], "query_id string, term string, weight double")
+    # Batches of three rows: documents go on from batch to batch.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        for k, ratio in ((1, 0.0), (9, 0.0), (9, 0.2), (500, 0.3)):
+            got = S.sparse_dot_search(terms, postings, k, min_match_ratio=ratio)
+            want = S.sparse_dot_search(terms, postings, k, min_match_ratio=ratio, ship_bytes=0)
+            columns = ["query_id", "doc_id", "score", "rank"]
+            assert sorted(got.select(columns).collect()) == sorted(want.select(columns).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_scores_beyond_the_fixed_point_are_refused(spark):
+    postings = spark.createDataFrame([("a", 1, 6e9), ("b", 1, 6e9)], "term string, doc_id long, weight double")
+    terms = spark.createDataFrame([(0, "a", 1.0), (0, "b", 1.0)], "query_id long, term string, weight double")
+    with pytest.raises(Exception, match="fixed point"):
+        S.sparse_dot_search(terms, postings, 3).collect()
