@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lexidra.operators import clustering, encoders, neighbors, pooling
 from lexidra.operators.lexical import doc_tokens
 from lexidra.operators.postings import topk_activation, zero_small
+from lexidra.operators.search import token_bag_search
 from lexidra.plans import dictionary as method
 
 RNG = np.random.default_rng(3)
@@ -446,3 +447,27 @@ def test_latents_are_not_sent_through_the_driver(spark):
     decoded = encoders.linear_decode(latents, decoder, bias, docs, 2)
     assert "BroadcastHashJoin" not in decoded._jdf.queryExecution().executedPlan().toString()
     assert {tuple(r.vec) for r in decoded.collect()} == {(301.0, 1199.0)} and decoded.count() == 20
+
+
+@pytest.mark.parametrize("rows", ["7", "10000"])
+def test_sparta_of_whole_documents_shuffles_nothing(spark, monkeypatch, rows):
+    monkeypatch.setattr(pooling, "BLOCK_POSITIONS", 5)
+    monkeypatch.setattr(pooling, "TERM_STEP", 16)
+    words = [f"w{i}" for i in range(60)]
+    texts = [(d, " ".join(words[(d * j + j * j) % 60] for j in range(n))) for d, n in enumerate((1, 23, 60, 0, 4))]
+    docs = spark.createDataFrame([*texts, (9, None), (None, "w1 w2")], "doc_id long, text string").repartition(2)
+    token_vecs = method.text_token_vectors(docs)
+    vocabulary = encoders.hash_static_vectors(spark.createDataFrame([(w,) for w in words], "term string")).cache()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        for k in (1, 7, 100):
+            got = pooling.sparta_pooling(token_vecs, vocabulary, k, whole=True)
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert "MapInArrow" in plan and "Exchange" not in plan.split("MapInArrow")[0] and "collect_list" not in plan
+            want = sorted(map(str, pooling.sparta_pooling(token_vecs, vocabulary, k).collect()))
+            assert sorted(map(str, got.collect())) == want and want
+            tokens = spark.createDataFrame([(0, "w1"), (0, "w1"), (0, "w5"), (1, "w50")], "query_id long, token string")
+            found = [sorted(map(str, token_bag_search(tokens, got, 3, whole).collect())) for whole in (True, False)]
+            assert found[0] == found[1] and found[0]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
