@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from lexidra.operators.lexical import doc_tokens
 from lexidra.operators.postings import topk_activation, zero_small
 from lexidra.operators.search import token_bag_search
 from lexidra.plans import dictionary as method
+from registry import dictionary as registered
 
 RNG = np.random.default_rng(3)
 
@@ -471,3 +474,29 @@ def test_sparta_of_whole_documents_shuffles_nothing(spark, monkeypatch, rows):
             assert found[0] == found[1] and found[0]
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_digest_lanes_hold_the_bytes_of_md5(spark):
+    words = ["", "a", "0", "ünï", "word", "x" * 300, *(f"w{i}" for i in range(500))]
+    rows = spark.createDataFrame([(w,) for w in words], "term string")
+    got = {r.term: r.lanes for r in rows.select("term", encoders._digest_lanes(F.col("term")).alias("lanes")).collect()}
+    for w in words:
+        digest = hashlib.md5(w.encode()).digest()
+        assert got[w] == [int.from_bytes(b"".join(bytes([0, x]) for x in digest[4 * j : 4 * j + 4]), "big") for j in range(4)]
+    plan = rows.select(encoders._digest_lanes(F.col("term")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan
+
+
+def test_the_plugged_in_encoder_looks_up_many_tokens_at_once(monkeypatch):
+    """One lookup a step, not one array a token, also when the known tokens are forgotten inside a document."""
+    monkeypatch.setattr(registered, "KNOWN_TOKENS", 40)
+    monkeypatch.setattr(registered, "ENCODE_STEP", 7)
+    monkeypatch.setattr(registered.np, "vstack", None)
+    tokens = [f"w{i * i % 97}" for i in range(300)]
+    (got,) = registered._load_hash_encoder()([tokens])
+    own = np.array([list(hashlib.md5(t.encode()).digest()) for t in tokens]) - 128.0
+    want = 4 * own
+    for gap, weight in ((1, 2), (2, 1)):
+        want[gap:] += weight * own[:-gap]
+        want[:-gap] += weight * own[gap:]
+    assert (got == want / 1024).all()
