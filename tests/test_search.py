@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lexidra.operators import postings as P
 from lexidra.operators import search as S
 from lexidra.operators.lexical import bm25_postings, bm25_search, doc_tokens, query_term_counts, term_frequencies
+from lexidra.operators.pooling import splade_pooling
 from lexidra.operators.ranking import batch_id, first_rows, rank_topk, with_ordinal
 
 
@@ -176,3 +177,16 @@ def test_scores_beyond_the_fixed_point_are_refused(spark):
     terms = spark.createDataFrame([(0, "a", 1.0), (0, "b", 1.0)], "query_id long, term string, weight double")
     with pytest.raises(Exception, match="fixed point"):
         S.sparse_dot_search(terms, postings, 3).collect()
+
+
+def test_pooled_terms_that_nobody_asks_for_are_not_shuffled(spark):
+    """The asked terms filter the rows below the pooling that makes the postings."""
+    logits = spark.createDataFrame([(d, p, f"t{p % 9}", float(p - 3)) for d in range(20) for p in range(30)], "doc_id long, pos long, term string, logit double")
+    terms = spark.createDataFrame([(0, "t1", 1.0), (0, "t5", 2.0), (1, "t8", 1.0)], "query_id long, term string, weight double")
+    pooled = splade_pooling(logits)
+    found = S.sparse_dot_search(terms, pooled, 4, max_weight=None)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("LeftSemi")
+    columns = ["query_id", "doc_id", "score", "rank"]
+    want = S.sparse_dot_search(terms, pooled, 4, max_weight=None, ship_bytes=0)
+    assert sorted(found.select(columns).collect()) == sorted(want.select(columns).collect())
