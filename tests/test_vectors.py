@@ -500,3 +500,37 @@ def test_the_plugged_in_encoder_looks_up_many_tokens_at_once(monkeypatch):
         want[gap:] += weight * own[:-gap]
         want[:-gap] += weight * own[gap:]
     assert (got == want / 1024).all()
+
+
+@pytest.mark.parametrize("ship", [1 << 20, 200])
+def test_sparta_of_whole_documents_beside_a_large_vocabulary_shuffles_nothing(spark, monkeypatch, ship):
+    """Also where the vocabulary is beyond the shipping bound, ties are many and documents go on in the next row."""
+    for name, value in (("BLOCK_POSITIONS", 5), ("TERM_STEP", 16), ("PIVOTS", 9), ("HELD_VALUES", 28), ("HELD_DOCS", 2)):
+        monkeypatch.setattr(pooling, name, value)
+    monkeypatch.setattr(neighbors, "BLOCK_ROWS", 20)
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(300, 4)), 3)
+    x[::3] = x[0]
+    vocabulary = spark.createDataFrame([(f"t{i * 7 % 300:03d}", v.tolist()) for i, v in enumerate(x)], "term string, vec array<double>").cache()
+    lengths = {0: 1, 1: 23, None: 9, 2: 60, 3: 1, 4: 1, 5: 1, 6: 4, 7: 2}
+    rows = [(d, n, p, np.round(rng.normal(size=4), 3).tolist() if d != 6 else [0.0] * 4) for d, n in lengths.items() for p in range(n)]
+    token_vecs = spark.createDataFrame(rows, "doc_id bigint, dl bigint, pos bigint, vec array<double>").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for k in (1, 7, 60, 400):
+            got = pooling.sparta_pooling(token_vecs, vocabulary, k, ship_bytes=ship, whole=True)
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan and ("CartesianProduct" in plan) == (ship == 200)
+            want = {}
+            for d in lengths:
+                v = np.array([r[3] for r in rows if r[0] == d])
+                scores = np.floor((v @ x.T).max(axis=0) * 1e9 + 0.5) / 1e9
+                best = sorted((-s, f"t{i * 7 % 300:03d}") for i, s in enumerate(scores) if s > 0)[:k]
+                want.update({(d, t): np.log1p(-s) for s, t in best})
+            found = [(r.doc_id, r.term, r.weight) for r in got.collect()]
+            assert {f[:2] for f in found} == want.keys() and len(found) == len(want)
+            assert all(w == pytest.approx(want[d, t], abs=1e-8) for d, t, w in found)
+            order = [f[0] for f in found]
+            assert sum(a != b for a, b in zip(order, order[1:], strict=False)) == len(set(order)) - 1
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
