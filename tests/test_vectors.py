@@ -534,3 +534,24 @@ def test_sparta_of_whole_documents_beside_a_large_vocabulary_shuffles_nothing(sp
             assert sum(a != b for a, b in zip(order, order[1:], strict=False)) == len(set(order)) - 1
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("rows", ["3", "10000"])
+def test_splade_of_whole_documents_shuffles_nothing(spark, rows):
+    entries = [(d, p, f"t{(d or 2) * p % 5}" if p % 11 else None, float((d or 1) * p % 13 - 4), p % 4) for d in (0, 3, None, 7) for p in range(30)]
+    logits = spark.createDataFrame(entries, "doc_id long, pos long, term string, logit double, mask int").coalesce(1)
+    asked = spark.createDataFrame([("t1",), ("t1",), ("t4",)], "term string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    try:
+        want = pooling.splade_pooling(logits).collect()
+        got = pooling.splade_pooling(logits, whole=True)
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, got.collect())) == sorted(map(str, want))
+        some = pooling.splade_pooling(logits, whole=True, asked=asked)
+        assert sorted(map(str, some.collect())) == sorted(str(r) for r in want if r.term in ("t1", "t4"))
+        plan = some._jdf.queryExecution().executedPlan().toString()
+        assert plan.index("MapInArrow") < plan.index("LeftSemi")
+        every = pooling.splade_pooling(logits, whole=True, asked=asked, ship_bytes=64)
+        assert len(every.collect()) == len(want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
