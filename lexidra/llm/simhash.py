@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexidra.llm.components import connected_components
-from lexidra.llm.tables import slices, stored, utf8
+from lexidra.llm.tables import discard, slices, stored, utf8
 
 SEED = 42
 RADIUS = 3
@@ -167,13 +167,15 @@ def unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def ball_collisions(
-    values: np.ndarray, route: int, route_bits: int, bits: int, radius: int, links: bool
-) -> tuple[np.ndarray, np.ndarray]:
+    values: np.ndarray, route: int, route_bits: int, bits: int, radius: int, links: bool, rows: np.ndarray | None = None
+) -> tuple[np.ndarray, ...]:
     """Pairs of places in ``values`` that share a variant whose leading bits are ``route``.
 
     Each value is paired with the first value that reaches the variant with the smaller number of
     flips.  Only pairs within ``radius`` are returned.  With ``links`` the pairs themselves are
     what is looked for; then those that join all classes are enough and only they are returned.
+    With ``rows``, how many rows each value stands for, a third array says which pairs share a
+    variant that at least three rows reach, so that rows besides the first may not have met.
     """
     low, high = radius // 2, radius - radius // 2
     rest = bits - route_bits
@@ -192,12 +194,12 @@ def ball_collisions(
     keys, owners = keys[new], owners[new]
     none = np.empty(0, dtype=np.int64)
     if not len(keys):
-        return none, none
+        return (none, none) if rows is None else (none, none, none.astype(bool))
     shift = np.uint64(64 - max(10, min(24, int(len(keys)).bit_length() + 4)))
     factor = np.uint64(0x9E3779B97F4A7C15)
     present = np.zeros(1 << (64 - int(shift)), dtype=bool)
     present[(keys * factor) >> shift] = True
-    root, pairs = np.arange(len(values)), []
+    root, pairs, shared, reached = np.arange(len(values)), [], [], np.zeros(len(keys))
     for n in range(high + 1):
         place = np.flatnonzero(used == n)
         masks = flips(rest, high - n)
@@ -211,17 +213,25 @@ def ball_collisions(
             same = keys[np.minimum(at, len(keys) - 1)] == variants[some]
             a = place[some[same] // len(masks[start : start + step])]
             b = owners[at[same]]
+            if rows is not None:
+                reached += np.bincount(at[same], weights=rows[a], minlength=len(keys))
             near = (a != b) & (np.bitwise_count(values[a] ^ values[b]) <= radius)
             a, b = a[near], b[near]
             if links:
                 root = unite(root, a, b)
+            elif rows is not None:
+                pairs.append(a * len(values) + b)
+                shared.append(at[same][near])
             elif len(a):
                 pairs.append(np.unique(a * len(values) + b))
     if links:
         a = np.flatnonzero(root != np.arange(len(values)))
         return a, root[a]
     both = np.unique(np.concatenate(pairs)) if pairs else none
-    return both // len(values), both % len(values)
+    if rows is None:
+        return both // len(values), both % len(values)
+    crowded = np.concatenate(pairs)[reached[np.concatenate(shared)] >= 3] if pairs else none
+    return both // len(values), both % len(values), np.isin(both, crowded)
 
 
 def cross_collisions(values: np.ndarray, roots: np.ndarray, route: int, route_bits: int, bits: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -278,14 +288,16 @@ def ball_pairs(points: DataFrame, bits: int, radius: int, links: bool, group_row
 
     ``points(node, space, value)``: values of ``bits`` bits, compared within their space.  Nodes
     of a space have distinct values, unless the pairs are verified elsewhere.  With a column
-    ``root`` as well, all pairs of different roots are returned; see ``cross_collisions``.
+    ``root`` as well, all pairs of different roots are returned; see ``cross_collisions``.  With a
+    column ``n``, the rows that a value stands for, a pair has a column ``crowd`` too: a space
+    where it shares a variant that at least three rows reach, or -1 where it does otherwise.
     """
-    rooted = "root" in points.columns
+    rooted, counted = "root" in points.columns, "n" in points.columns
     route_bits = _route_bits(points, bits, group_rows)
     masks = [int(m) for m in flips(route_bits, radius - radius // 2)]
     lead = F.shiftrightunsigned("value", bits - route_bits) if route_bits else F.lit(0).cast("long")
     # The patterns in order of their number of flips: a row for each leading pattern in reach.
-    carried = ["node", "value", *["root"] * rooted]
+    carried = ["node", "value", *["root"] * rooted, *["n"] * counted]
     routed = points.select(
         "space", lead.alias("lead"), *carried, F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("mask")
     ).select("space", F.col("lead").bitwiseXOR(F.col("mask")).alias("route"), *carried)
@@ -294,13 +306,18 @@ def ball_pairs(points: DataFrame, bits: int, radius: int, links: bool, group_row
         nodes = group.column("node").to_numpy()
         order = np.argsort(nodes, kind="stable")
         nodes, values = nodes[order], group.column("value").to_numpy().view(np.uint64)[order]
+        found = {}
         if rooted:
             a, b = cross_collisions(values, group.column("root").to_numpy()[order], key[1].as_py(), route_bits, bits, radius)
+        elif counted:
+            a, b, more = ball_collisions(values, key[1].as_py(), route_bits, bits, radius, links, group.column("n").to_numpy()[order])
+            found = {"crowd": np.where(more, key[0].as_py(), -1)}
         else:
             a, b = ball_collisions(values, key[1].as_py(), route_bits, bits, radius, links)
-        return pa.table({"a": nodes[a], "b": nodes[b]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        found = {"a": nodes[a], "b": nodes[b], **found}
+        return pa.table(found, schema=pa.schema([(name, pa.int64()) for name in found]))
 
-    return routed.groupBy("space", "route").applyInArrow(run, "a long, b long").distinct()
+    return routed.groupBy("space", "route").applyInArrow(run, "a long, b long" + ", crowd long" * counted).distinct()
 
 
 def hex_digits(value: str) -> Column:
@@ -354,7 +371,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     ``SPACES`` halves of fingerprints differ in at most ``HALF_RADIUS`` bits: that finds 95 % of
     the pairs at a similarity of 0.8 and 99 % at 0.85.  Pairs that all fingerprints together put
     below ``LOOSE`` are dropped, the others verified.  In a large group rows meet the first of
-    each set of colliding variants, and then all others of the set that verified pairs have not joined them with.  Of every connected group the row with the smallest
+    each set of colliding variants, and then all others of the set that verified pairs have not joined them with;
+    only sets of three rows or more take part in that.  Of every connected group the row with the smallest
     id stays (null last).  Texts without words are one group; of rows repeated whole one stays.
     An empty table gives an empty one.
     """
@@ -374,23 +392,31 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     values = points.groupBy("space", "value").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n"))
     values = stored(values, "near-values")
     shared = values.where("n > 1").select("space", "value", F.col("node").alias("a"))
-    equal = points.join(shared, ["space", "value"]).where("node <> a").select("a", F.col("node").alias("b"))
-    met = ball_pairs(values.drop("n"), 32, HALF_RADIUS, links=False, group_rows=HALF_GROUP_ROWS).unionByName(equal).unionByName(_whole_links(nodes))
-    pairs = stored(met.distinct(), "near-pairs")
+    equal = points.join(shared, ["space", "value"]).where("node <> a")
+    equal = equal.select("a", F.col("node").alias("b"), F.col("space").cast("long").alias("crowd"))
+    whole = _whole_links(nodes).withColumn("crowd", F.lit(-1).cast("long"))
+    met = ball_pairs(values, 32, HALF_RADIUS, links=False, group_rows=HALF_GROUP_ROWS).unionByName(equal).unionByName(whole)
+    met = stored(met, "near-met")
+    pairs = stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
     links = _verified(pairs, nodes, rows, names, similarity)
-    # Rows that meet only through others which they do not resemble: all that met anything and
-    # are not in one component yet are compared with one another.
-    crowd = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    crowd = stored(crowd.join(connected_components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root")), "near-crowd")
+    # Rows that meet only through others which they do not resemble: where three rows or more met
+    # in a variant, those that are not in one component yet are compared with one another.
+    crowd = met.where("crowd >= 0").select(F.col("crowd").cast("int").alias("space"), F.explode(F.array("a", "b")).alias("node")).distinct()
+    crowd = crowd.join(connected_components(links), "node", "left").select("space", "node", F.coalesce("root", "node").alias("root"))
     # A point that was represented by another one stands for itself here.
-    apart = ball_pairs(points.join(crowd, "node"), 32, HALF_RADIUS, links=False, group_rows=HALF_GROUP_ROWS)
+    apart = stored(points.join(crowd, ["space", "node"]), "near-crowd")
+    discard(values, points, met)
+    apart = ball_pairs(apart, 32, HALF_RADIUS, links=False, group_rows=HALF_GROUP_ROWS)
     late = stored(apart.join(pairs, (apart["a"] == pairs["a"]) & (apart["b"] == pairs["b"]), "left_anti"), "near-late-pairs")
     roots = connected_components(links.unionByName(_verified(late, nodes, rows, names, similarity)))
+    discard(pairs, late)
     rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = rooted.groupBy("root").agg(F.min("best").alias("keep"))
     classes = rooted.join(kept, "root").select(*keys, F.col("keep.doc_id").alias("keep_id"), F.col("keep.row_id").alias("keep_row"))
     narrow = rows.select("row_id", *keys).join(classes, keys).select("row_id", "keep_id", (F.col("row_id") == F.col("keep_row")).alias("kept"))
-    return rows.select("row", "row_id").join(stored(narrow, "near-kept"), "row_id")
+    narrow = stored(narrow, "near-kept")
+    discard(nodes)
+    return rows.select("row", "row_id").join(narrow, "row_id")
 
 
 def _whole_links(nodes: DataFrame) -> DataFrame:
@@ -416,4 +442,6 @@ def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, names: list[s
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     both = pairs.join(left, "a").join(right, "b")
-    return stored(both.where(common >= (F.size("x") + F.size("y") - common) * similarity).select("a", "b"), "near-links")
+    links = stored(both.where(common >= (F.size("x") + F.size("y") - common) * similarity).select("a", "b"), "near-links")
+    discard(pairs, places, sets)
+    return links

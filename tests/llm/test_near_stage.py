@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
 import corpus_pipeline
+import pytest
+from pyspark.sql import functions as F
+
 from lexidra.llm import simhash
 
 
@@ -22,3 +27,25 @@ def test_near_stage_links_the_fingerprints_of_the_operator(spark, monkeypatch):
     kept = corpus_pipeline.near(spark, docs, "")
     assert {r.doc_id for r in kept.collect()} == {1, 3, 4}
     assert seen == [linked]
+
+
+@pytest.mark.parametrize("rows", [8192, 40])
+def test_pairs_that_meet_alone_stay_out_of_the_crowd(spark, rows):
+    """Where two rows meet alone nothing is left to compare; among the others every pair is found."""
+    rng, values = random.Random(rows), {}
+    for _ in range(200):
+        base = rng.getrandbits(32)
+        for _ in range(rng.choice([1, 2, 2, 2, 6])):
+            values[base ^ sum(1 << b for b in rng.sample(range(32), rng.randrange(3)))] = 1
+    values = dict.fromkeys(values, 1) | {v: 2 for v in list(values)[::40]}
+    points = spark.createDataFrame([(i, 3, v, n) for i, (v, n) in enumerate(values.items())], "node long, space int, value long, n long")
+    met = simhash.ball_pairs(points, 32, 2, False, rows).collect()
+    assert {r.crowd for r in met} == {-1, 3}
+    crowd = {x for r in met if r.crowd == 3 for x in (r.a, r.b)}
+    rooted = points.drop("n").where(F.col("node").isin(list(crowd))).withColumn("root", F.col("node"))
+    late = simhash.ball_pairs(rooted, 32, 2, False, rows).collect()
+    at = list(values)
+    near = {(i, j) for j in range(len(at)) for i in range(j) if (at[i] ^ at[j]).bit_count() <= 2}
+    assert {(min(r.a, r.b), max(r.a, r.b)) for r in [*met, *late]} == near
+    alone = {(min(r.a, r.b), max(r.a, r.b)) for r in met if not {r.a, r.b} & crowd}
+    assert len(alone) > 50 and all(values[at[i]] + values[at[j]] == 2 for i, j in alone)
