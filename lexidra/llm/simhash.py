@@ -33,15 +33,17 @@ MOST_ROUTE_BITS = 16
 LOOKUPS = 1 << 19
 BLOCK_BYTES = 1 << 20
 #: Near-duplicates: five-word shingles, a Jaccard similarity of 0.8, as many fingerprints to
-#: estimate it, the estimate up to which pairs are verified, and how many halves of fingerprints
-#: candidates are found by.
+#: estimate it, the estimate up to which pairs are verified (sets of four and five shingles with four
+#: in common are taken for 0.7 on average), and how many halves of fingerprints candidates are found by.
 NEAR_SHINGLE = 5
 SIMILARITY = 0.8
 COPIES = 16
-LOOSE = 0.7
+LOOSE = 0.5
 SPACES = 24
 # Rows whose ids are shipped to every task at most: 8 MB.
 SHIPPED_ROWS = 1 << 20
+# Marks pairs of whole fingerprints among those that met.
+WHOLE = -2
 HALF_RADIUS = 2
 HALF_GROUP_ROWS = 32_768
 WHITE = b" \t\n\r\x0b\x0c"
@@ -235,41 +237,50 @@ def ball_collisions(
 
 
 def cross_collisions(values: np.ndarray, roots: np.ndarray, route: int, route_bits: int, bits: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of places in ``values`` of different ``roots`` that share a variant whose leading bits are ``route``.
-
-    ``radius`` is even, so both sides of a pair reach their variants with the same number of flips.
-    """
-    rest = bits - route_bits
+    """All pairs of places in ``values`` of different ``roots`` within ``radius`` that share a variant whose leading bits are ``route``."""
+    low, high = radius // 2, radius - radius // 2
+    rest, size = bits - route_bits, max(1, len(values))
     suffix = values & np.uint64((1 << rest) - 1)
     used = np.bitwise_count((values >> np.uint64(rest)) ^ np.uint64(route)) if route_bits else np.zeros(len(values), dtype=np.uint8)
+    own = np.unique(roots, return_inverse=True)[1].astype(np.int64)
     keys, owners = [np.empty(0, dtype=np.uint64)], [np.empty(0, dtype=np.int64)]
-    for n in range(radius // 2 + 1):
+    for n in range(low + 1):
         place = np.flatnonzero(used == n)
-        masks = flips(rest, radius // 2 - n)
+        masks = flips(rest, low - n)
         keys.append((suffix[place][:, None] ^ masks[None, :]).ravel())
         owners.append(np.repeat(place, len(masks)))
     keys, owners = np.concatenate(keys), np.concatenate(owners)
-    own = np.unique(roots, return_inverse=True)[1][owners]
-    order = np.lexsort((own, keys))
-    keys, owners, own = keys[order], owners[order], own[order]
-    edge = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
-    inner = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (own[1:] != own[:-1]))[: len(keys)])
-    at = np.arange(len(keys))
+    order = np.lexsort((own[owners], keys))
+    keys, owners = keys[order], owners[order]
     # The owners of a variant stand together, those of one root among them too.
-    ends = np.append(edge, len(keys))[np.searchsorted(edge, at, side="right")]
-    after = np.append(inner, len(keys))[np.searchsorted(inner, at, side="right")]
-    # Every member of a variant meets those of the roots behind its own.
-    found, many = [], np.cumsum(ends - after)
-    start = 0
-    while start < len(keys):
-        stop = max(start + 1, int(np.searchsorted(many, (many[start - 1] if start else 0) + LOOKUPS, side="right")))
-        n = (ends - after)[start:stop]
-        a = np.repeat(owners[start:stop], n)
-        b = owners[np.repeat(after[start:stop], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-        found.append(np.unique(np.minimum(a, b) * len(values) + np.maximum(a, b)))
-        start = stop
+    known, number = np.unique(keys, return_inverse=True)
+    edges, groups = np.append(np.searchsorted(keys, known), len(keys)), number * size + own[owners]
+    found = []
+    for n in range(high + 1):
+        place = np.flatnonzero(used == n)
+        masks = flips(rest, high - n)
+        if not len(place) or not len(known):
+            continue
+        step = max(1, LOOKUPS // len(place))
+        for start in range(0, len(masks), step):
+            variants = (suffix[place][:, None] ^ masks[None, start : start + step]).ravel()
+            at = np.minimum(np.searchsorted(known, variants), len(known) - 1)
+            hit = np.flatnonzero(known[at] == variants)
+            a, at = place[hit // len(masks[start : start + step])], at[hit]
+            # Whoever reaches a variant meets the owners of it before those of the same root, and behind them.
+            group = at * size + own[a]
+            spans = [(edges[at], np.searchsorted(groups, group)), (np.searchsorted(groups, group, side="right"), edges[at + 1])]
+            for begins, ends in spans:
+                many, first = np.cumsum(ends - begins), 0
+                while first < len(a):
+                    last = max(first + 1, int(np.searchsorted(many, (many[first - 1] if first else 0) + LOOKUPS, side="right")))
+                    m = (ends - begins)[first:last]
+                    x = np.repeat(a[first:last], m)
+                    y = owners[np.repeat(begins[first:last], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
+                    found.append(np.unique(np.minimum(x, y) * size + np.maximum(x, y)))
+                    first = last
     both = np.unique(np.concatenate(found)) if found else np.empty(0, dtype=np.int64)
-    return both // max(1, len(values)), both % max(1, len(values))
+    return both // size, both % size
 
 
 def _route_bits(points: DataFrame, bits: int, group_rows: int) -> int:
@@ -372,7 +383,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     the pairs at a similarity of 0.8 and 99 % at 0.85.  Pairs that all fingerprints together put
     below ``LOOSE`` are dropped, the others verified.  In a large group rows meet the first of
     each set of colliding variants, and then all others of the set that verified pairs have not joined them with;
-    only sets of three rows or more take part in that.  Of every connected group the row with the smallest
+    only sets of three rows or more take part in that.  So do rows that ``simhash_components`` links in
+    threes or more: all within its radius are compared.  Of every connected group the row with the smallest
     id stays (null last).  Texts without words are one group; of rows repeated whole one stays.
     An empty table gives an empty one.
     """
@@ -394,19 +406,23 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     shared = values.where("n > 1").select("space", "value", F.col("node").alias("a"))
     equal = points.join(shared, ["space", "value"]).where("node <> a")
     equal = equal.select("a", F.col("node").alias("b"), F.col("space").cast("long").alias("crowd"))
-    whole = _whole_links(nodes).withColumn("crowd", F.lit(-1).cast("long"))
+    whole = _whole_links(nodes).withColumn("crowd", F.lit(WHOLE).cast("long"))
     met = ball_pairs(values, 32, HALF_RADIUS, links=False, group_rows=HALF_GROUP_ROWS).unionByName(equal).unionByName(whole)
     met = stored(met, "near-met")
     pairs = stored(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
     links = _verified(pairs, nodes, rows, names, similarity)
     # Rows that meet only through others which they do not resemble: where three rows or more met
     # in a variant, those that are not in one component yet are compared with one another.
+    found = connected_components(links)
     crowd = met.where("crowd >= 0").select(F.col("crowd").cast("int").alias("space"), F.explode(F.array("a", "b")).alias("node")).distinct()
-    crowd = crowd.join(connected_components(links), "node", "left").select("space", "node", F.coalesce("root", "node").alias("root"))
+    crowd = crowd.join(found, "node", "left").select("space", "node", F.coalesce("root", "node").alias("root"))
     # A point that was represented by another one stands for itself here.
     apart = stored(points.join(crowd, ["space", "node"]), "near-crowd")
+    linked = stored(_whole_crowd(met.where(F.col("crowd") == WHOLE), nodes, found), "near-whole-crowd")
     discard(values, points, met)
     apart = ball_pairs(apart, 32, HALF_RADIUS, links=False, group_rows=HALF_GROUP_ROWS)
+    if not linked.isEmpty():
+        apart = apart.unionByName(ball_pairs(linked, BITS, RADIUS, links=False, group_rows=GROUP_ROWS)).distinct()
     late = stored(apart.join(pairs, (apart["a"] == pairs["a"]) & (apart["b"] == pairs["b"]), "left_anti"), "near-late-pairs")
     roots = connected_components(links.unionByName(_verified(late, nodes, rows, names, similarity)))
     discard(pairs, late)
@@ -427,6 +443,19 @@ def _whole_links(nodes: DataFrame) -> DataFrame:
     return ball_pairs(points.select("node", F.lit(0).alias("space"), "value"), BITS, RADIUS, links=True, group_rows=GROUP_ROWS).unionByName(equal)
 
 
+def _whole_crowd(links: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Points ``(node, space, value, root)`` of whole fingerprints that ``links`` join in threes or more, as far as verified pairs have not.
+
+    The links are only enough to join all fingerprints, and the texts of two that are compared
+    need not be those that resemble one another.
+    """
+    joined = connected_components(links.select("a", "b")).withColumnRenamed("root", "linked")
+    joined = joined.join(roots, "node", "left").select("node", "linked", F.coalesce("root", "node").alias("root"))
+    open_ = joined.groupBy("linked").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("least"), F.max("root").alias("most"))
+    some = joined.join(open_.where("n > 2 AND least < most").select("linked"), "linked")
+    return some.join(nodes.select("node", F.col("whole").alias("value")), "node").select("node", F.lit(0).alias("space"), "value", "root")
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, names: list[str], similarity: float) -> DataFrame:
     """The pairs of nodes whose texts have the similarity; those that their fingerprints put far below it are not read."""
     left = nodes.select(F.col("node").alias("a"), F.array(*names).alias("x"))
