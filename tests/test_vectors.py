@@ -138,6 +138,22 @@ def test_dictionary_of_many_blocks_is_the_same(spark, token_vecs, monkeypatch, s
     assert {r.term: tuple(r.vec) for r in blocked.collect()} == want
 
 
+def test_rounds_of_shipped_centroids_store_nothing(spark, token_vecs, monkeypatch):
+    """Shipped and joined centroids end the same; only the joined ones are stored once a round."""
+    monkeypatch.setattr(clustering, "BLOCK_POINTS", 5)
+    monkeypatch.setattr(clustering, "LOCAL_BYTES", 8 * encoders.HASH_DIM * 12)
+    plain, found, stored = clustering.cut_lineage, [], []
+    for bound in (clustering.SHIP_BYTES, 1):
+        calls = []
+        monkeypatch.setattr(clustering, "SHIP_BYTES", bound)
+        monkeypatch.setattr(clustering, "cut_lineage", lambda df, calls=calls: calls.append(1) or plain(df))
+        entries = clustering.train_vector_dictionary(token_vecs, encoders.HASH_DIM, k=3)
+        found.append({r.term: tuple(r.vec) for r in entries.collect()})
+        stored.append(len(calls))
+    # The names of large tokens, and three seeds.
+    assert found[0] == found[1] and stored[0] == 4 < stored[1]
+
+
 def plain_rounds(points, counts, centres):
     """Lloyd rounds without bounds, until nothing moves."""
     while True:
