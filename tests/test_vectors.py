@@ -287,6 +287,29 @@ def test_sparta_equals_brute_force(spark, k, ship, monkeypatch):
     assert all(found[key] == pytest.approx(want[key], abs=1e-8) for key in want)
 
 
+@pytest.mark.parametrize("k", [1, 7, 20])
+def test_few_positions_go_to_a_large_vocabulary(spark, k, monkeypatch):
+    """No pair of a document and a term is joined, and a task brings its best terms only."""
+    monkeypatch.setattr(pooling, "BLOCK_POSITIONS", 5)
+    monkeypatch.setattr(pooling, "VOCABULARY_STEP", 16, raising=False)
+    monkeypatch.setattr(pooling, "_best_joined", lambda *args: pytest.fail("joined"))
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(900, 4)), 1)
+    vocabulary = spark.createDataFrame([(f"t{i:03d}", v.tolist()) for i, v in enumerate(x)], "term string, vec array<double>")
+    texts = {d: np.round(rng.normal(size=(n, 4)), 1) for d, n in {0: 1, 5: 23, 2: 12, 3: 4}.items()}
+    texts[3][:] = 0.0
+    rows = [(d, len(v), p, row.tolist()) for d, v in texts.items() for p, row in enumerate(v)]
+    token_vecs = spark.createDataFrame(rows, "doc_id bigint, dl bigint, pos bigint, vec array<double>")
+    want = {}
+    for d, v in texts.items():
+        best = sorted((-s, f"t{i:03d}") for i, s in enumerate(np.floor((v @ x.T).max(axis=0) * 1e9 + 0.5) / 1e9) if s > 0)[:k]
+        want.update({(d, t): np.log1p(-s) for s, t in best})
+    got = pooling.sparta_pooling(token_vecs, vocabulary.repartition(3), k, ship_bytes=20_000)
+    found = {(r.doc_id, r.term): r.weight for r in got.collect()}
+    assert found.keys() == want.keys()
+    assert all(found[key] == pytest.approx(want[key], abs=1e-8) for key in want)
+
+
 def test_tiles_leave_most_terms_out(monkeypatch):
     monkeypatch.setattr(pooling, "TERM_STEP", 256)
     rng = np.random.default_rng(5)
